@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup, packing
+from . import near_dedup, packing, sharding
 from .files import tokenizer_file, tokenizer_pattern
 
 QUERIES: dict = {}
@@ -30,3 +30,22 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=2, threshold=0.8)
+
+
+@query
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, from 16 shards to 24 of near equal bytes; the columns come from the rewritten files."""
+    placed, plan = sharding.reshard(table(spark, sf_dir, "documents").select("doc_id", "text"), old_shards=16, new_shards=24)
+    plan.affected.update(range(24))  # the old shards have no files yet: every shard is written
+    stored = sharding.rewrite(placed, plan)
+    text = F.coalesce("text", F.lit(""))
+    return stored.select(
+        "doc_id",
+        (F.octet_length(text).cast("long") + 8).alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        F.col("__shard").alias("shard"),
+        F.col("__slot").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+        F.col("__old").alias("old_shard"),
+    )
