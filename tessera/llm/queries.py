@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup, packing, sharding
+from . import language_id, near_dedup, packing, sharding, substring_dedup
 from .files import tokenizer_file, tokenizer_pattern
 
 QUERIES: dict = {}
@@ -49,3 +49,29 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"),
         F.col("__old").alias("old_shard"),
     )
+
+
+def language_model(docs: DataFrame) -> language_id.TextModel:
+    """Fitted on rows outside the fifth that is held out."""
+    return language_id.fit(docs.where("crc32(cast(doc_id as string)) % 5 <> 0"))
+
+
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no address: the source stands for the host."""
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs.select("doc_id", "text", "source"), language_model(docs), host=F.col("source"))
+    return found.select("doc_id", F.col("__language").alias("language"), F.col("__posterior").alias("posterior"), F.col("__text_language").alias("text_language"), F.col("__accepted").alias("accepted"))
+
+
+@query
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator with all its evidence: markup language, address suffix and host."""
+    pages, html, url = table(spark, sf_dir, "pages").select("page_id", "url", "html"), F.col("html"), F.col("url")
+    found = language_id.identify(pages, language_model(table(spark, sf_dir, "documents")), text=language_id.visible_text(html), host=F.try_parse_url(url, F.lit("HOST")), suffix=language_id.address_suffix(url), declared=language_id.markup_language(html))
+    return found.select("page_id", F.col("__language").alias("language"), F.col("__posterior").alias("posterior"), F.col("__text_language").alias("text_language"), F.col("__accepted").alias("accepted"))
+
+
+@query
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
