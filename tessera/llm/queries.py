@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, near_dedup, packing, sharding, substring_dedup
+from . import language_id, near_dedup, packing, quality, sharding, substring_dedup
 from .files import tokenizer_file, tokenizer_pattern
 
 QUERIES: dict = {}
@@ -75,3 +75,13 @@ def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from labelled rows outside the held-out fifth; scores every document."""
+    held_out = "crc32(cast(doc_id as string)) % 5 = 0"
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.where(f"not ({held_out})"))
+    scored = docs.withColumn("score", quality.score(model, spark, F.col("text")))
+    return scored.select("doc_id", F.expr(held_out).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
