@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, near_dedup, packing, quality, sharding, substring_dedup
+from . import ann, language_id, near_dedup, packing, quality, sharding, substring_dedup
 from .files import tokenizer_file, tokenizer_pattern
 
 QUERIES: dict = {}
@@ -84,4 +84,9 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels.where(f"not ({held_out})"))
     scored = docs.withColumn("score", quality.score(model, spark, F.col("text")))
-    return scored.select("doc_id", F.expr(held_out).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+    return scored.select("doc_id", F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+@query
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
