@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, language_id, near_dedup, packing, quality, sharding, substring_dedup
+from . import ann, language_id, media, near_dedup, packing, quality, sharding, substring_dedup
 from .files import tokenizer_file, tokenizer_pattern
 
 QUERIES: dict = {}
@@ -90,3 +90,9 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.media_columns(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bits")
