@@ -7,9 +7,10 @@ registers, so sketches merge, and two registers are equal with about the Jaccard
 The plan: one map over the texts gives sketches; equal sets become one class, stood for by its smallest id; bands of
 registers give buckets; in each bucket every class is tied to one centre, not to every other class. A pair counts as a
 candidate if the likelihood of its register comparison (greater, smaller, equal; cardinalities known) at the best
-similarity doesn't speak clearly against the threshold; candidates are confirmed on the full shingle sets. After the
+similarity doesn't speak clearly against the threshold; candidates are confirmed on the full shingle sets. After two
 rounds of centres, a last one compares, bucket by bucket, only classes that are still in different components, so no link
-that any band has seen is lost, and a large group of copies costs in proportion to its size. Components come from
+that any band has seen is lost. Of these it leaves out what can't be linked because too many shingles of one side occur
+in no other set, so a large group of copies, edited each in its own way, costs in proportion to its size. Components come from
 minimum labels with pointer jumping, as tables.
 
 At similarity 0.8, 32 bands of 5 registers miss a pair with probability 3e-6; above that, less.
@@ -168,6 +169,28 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, threshold: float)
     return both.select("a", "b", "t_a", "t_b").mapInArrow(work, f"a {kind}, b {kind}")
 
 
+def _own_shingles(ids: DataFrame, texts: DataFrame, sketch: DataFrame, size: int) -> DataFrame:
+    """(rep, n, most): the size of each set, and how many of its shingles any other of these sets holds too.
+
+    No two of the sets have more than the lesser `most` in common, which rules out nearly all pairs of copies that were
+    edited apart, without looking at them.
+    """
+    kind = texts.schema["rep"].dataType.simpleString()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, data, offsets in text_blocks(batch.column("text")):
+                hashes, owner, _ = words(data, offsets)
+                cuts = np.searchsorted(owner, np.arange(end - first + 1))
+                found = [shingles(hashes[a:b], size) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                take = pa.array(np.repeat(np.arange(first, end), [len(x) for x in found]))
+                yield pa.RecordBatch.from_arrays([batch.column("rep").take(take), pa.array(np.concatenate(found).view(np.int64))], ["rep", "s"])
+
+    rows = texts.join(ids, "rep").select("rep", "text").mapInArrow(work, f"rep {kind}, s long")
+    alone = rows.groupBy("s").agg(F.count("*").alias("times"), F.min("rep").alias("rep")).where("times = 1").groupBy("rep").agg(F.count("*").alias("own"))
+    return sketch.select("rep", F.col("n_shingles").alias("n")).join(ids, "rep").join(alone, "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most"))
+
+
 def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     """(id, component) for the ids of edges (a, b); the component is the smallest id reachable.
 
@@ -230,8 +253,12 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, d
         if turn < 2:
             pairs = pairs.select(F.col("c.rep").alias("x"), F.col("rep").alias("y"))
         else:  # whatever isn't in the component of the bucket's centre, against all of the bucket in other components
-            outside = near.where("component <> c.component").select("key", F.col("rep").alias("x"), F.col("component").alias("cx"))
-            pairs = outside.join(open_members.select("key", F.col("rep").alias("y"), F.col("component").alias("cy")), "key").where("cx <> cy").select("x", "y")
+            shared_most = written(_own_shingles(open_members.select("rep").distinct(), texts, sketch_in, size), "own")
+            open_members = open_members.join(shared_most, "rep")
+            outside = open_members.join(centres, "key").where("component <> c.component").where(F.col("most") >= threshold * F.col("n") - 1e-6).select("key", F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("most").alias("mx"))
+            inside = open_members.select("key", F.col("rep").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("most").alias("my"))
+            common = F.least("mx", "my")
+            pairs = outside.join(inside, "key").where((F.col("cx") != F.col("cy")) & (common >= threshold * (F.col("nx") + F.col("ny") - common) - 1e-6)).select("x", "y")
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         found = written(_confirmed(written(_candidates(pairs, sketch_in, threshold), "candidates"), texts, size, threshold), "links")
         links.append(found)
