@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, language_id, media, near_dedup, packing, quality, sharding, substring_dedup
+from . import ann, bpe, language_id, media, near_dedup, packing, quality, sharding, substring_dedup
 from .files import tokenizer_file, tokenizer_pattern
 
 QUERIES: dict = {}
@@ -96,3 +96,8 @@ def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media.media_columns(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bits")
+
+
+@query
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file("word_bpe_49k.json"), digests=True)
