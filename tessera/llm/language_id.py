@@ -11,7 +11,8 @@ language (mean log-likelihood below the floor seen in fitting), or if the best p
 fewer than `LEAST_TRIGRAMS` don't count in the priors.
 
 Defined results: null or empty texts have no evidence and are rejected, with the host's prior as posterior. A null host,
-suffix or declaration is a value like any other, shared by the rows that have none. Repeated rows get equal results and
+suffix or declaration is a value like any other, shared by the rows that have none. A model fitted without any labelled
+row knows no language: every row is accepted, language null. Repeated rows get equal results and
 count each in the sums. Ties between languages go to the first in the alphabet. Rows stay as they are, in any columns.
 """
 
@@ -179,10 +180,12 @@ def identify(docs: DataFrame, model: TextModel, *, text: Column | None = None, h
     to BROADCAST_ROWS hosts, and joined by shuffle (of the rows, with AQE's skew handling) beyond it.
     """
     spark, k = docs.sparkSession, len(model.languages)
+    null = F.lit(None).cast("string")
+    if not k:
+        return docs.select("*", null.alias("__language"), F.lit(None).cast("double").alias("__posterior"), null.alias("__text_language"), F.lit(True).alias("__accepted"))
     evidence = text_evidence(model, spark)
     ev, h, s, d, hh, ss, dd = fresh(docs, "ev_", "host_", "suffix_", "declared_", "hh_", "ss_", "dd_")
-    own = [c for c in docs.columns]
-    null = F.lit(None).cast("string")
+    own = docs.columns
     keyed = docs.select("*", evidence(text if text is not None else F.col("text")).alias(ev), (host if host is not None else null).alias(h), (suffix if suffix is not None else null).alias(s), (declared if declared is not None else null).alias(d))
     rows = written(keyed.select(F.col(h).alias("host"), F.col(s).alias("suffix"), F.col(d).alias("declared"), F.col(ev).alias("ev")), "evidence")
     known = priors(rows, k)

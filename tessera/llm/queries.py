@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, language_id, media, near_dedup, packing, quality, sharding, substring_dedup
+from . import ann, bpe, language_id, media, near_dedup, packing, quality, secret_scan, sharding, substring_dedup
 from .files import tokenizer_file, tokenizer_pattern
 
 QUERIES: dict = {}
@@ -101,3 +101,16 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file("word_bpe_49k.json"), digests=True)
+
+
+@query
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return secret_scan.findings_of(secret_scan.scan(docs, secret_scan.train(spark), path="source"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
