@@ -30,7 +30,7 @@ from .common import fresh, text_blocks, written
 BUCKETS = 1 << 16
 LEAST_TRIGRAMS = 8
 JUDGED_TRIGRAMS = 50
-#: Labelled rows that a fit may use for each language, the first by hash of their id.
+#: Labelled rows that a fit may use for each language, the first by hash.
 SAMPLE = 400
 #: Pseudo-rows that a level of the hierarchy takes from the level above it.
 STRENGTH = 20.0
@@ -85,13 +85,15 @@ class TextModel:
 
 
 def fit(docs: DataFrame, *, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", label: str = "lang") -> TextModel:
-    """A text model from at most `sample` labelled rows of each language, the first by hash of the id."""
-    rows = docs.where(F.col(label).isNotNull() & (F.length(F.trim(text)) > 0)).select(F.col(label).alias("label"), F.xxhash64(doc_id, F.lit(3)).alias("h"), F.substring(text, 1, 1 << 20).alias("text"))
+    """A text model from at most `sample` labelled rows of each language, the first by hash of id and text."""
+    rows = docs.where(F.col(label).isNotNull() & (F.length(F.trim(text)) > 0)).select(F.col(label).alias("label"), F.xxhash64(doc_id, text, F.lit(3)).alias("h"), F.col(text).alias("text"))
     languages = sorted(r[0] for r in rows.select("label").distinct().collect())
     counts = np.full((BUCKETS, len(languages)), 0.02)
     seen = []
     for j, language in enumerate(languages):
-        chosen = [r[0] for r in rows.where(F.col("label") == language).orderBy("h", "text").limit(sample).select("text").collect()]
+        own = rows.where(F.col("label") == language)
+        last = own.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]  # hashes first: no task sends texts that aren't taken
+        chosen = sorted(r[0] for r in own.where(F.col("h") <= last).select("text").limit(sample).collect())
         seen.append(pa.array(chosen, pa.string()))
         for _, _, data, offsets in text_blocks(seen[-1]):
             code, owner = trigrams(data, offsets)
