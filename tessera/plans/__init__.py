@@ -1 +1,3 @@
+"""Operators bound to tables, by name."""
 
+from tessera.plans import governance, prices  # noqa: F401

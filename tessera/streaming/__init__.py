@@ -1 +1 @@
-
+"""Incremental runs and event windows."""
