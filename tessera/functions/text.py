@@ -38,12 +38,18 @@ def tokens(x: Column, longer_than: int = 2, stop: tuple[str, ...] = STOP_WORDS)
     return F.filter(F.split(F.lower(x), "[^a-z0-9]+"), lambda t: (F.length(t) > longer_than) & ~t.isin(*stop))
 
 
-def bigrams(words: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1)))
+def ngrams(items: Column, n: int, gap: str = " ") -> Column:
+    """Runs of n items joined by a gap. Shifted copies are zipped, since what a lambda refers to is computed for each element."""
+    size = F.size(items)
+    out = items
+    for k in range(1, n):
+        shifted = F.slice(items, k + 1, F.greatest(size - k, F.lit(0)))
+        out = F.zip_with(F.slice(out, 1, F.greatest(size - k, F.lit(0))), shifted, lambda a, b: F.concat(a, F.lit(gap), b))
+    return out
 
 
-def safe_bigrams(words: Column) -> Column:
-    return F.when(F.size(words) > 1, bigrams(words)).otherwise(F.array().cast("array<string>"))
+def bigrams(words: Column) -> Column:
+    return ngrams(words, 2)
 
 
 def stem(t: Column) -> Column:
@@ -63,7 +69,7 @@ def stem(t: Column) -> Column:
 def topic_tokens(x: Column) -> Column:
     """Stemless unigrams of three letters or more and bigrams, each once, in order."""
     words = tokens(x)
-    return F.array_distinct(F.concat(words, safe_bigrams(words)))
+    return F.array_distinct(F.concat(words, bigrams(words)))
 
 
 def matched(wanted: Column, text: Column) -> Column:
@@ -75,8 +81,8 @@ def matched(wanted: Column, text: Column) -> Column:
 def char_ngrams(x: Column, low: int, high: int) -> Column:
     """Character n-grams of the text without separators."""
     packed = F.regexp_replace(F.lower(x), "[^a-z0-9]+", "")
-    sets = [F.when(F.length(packed) >= n, F.transform(F.sequence(F.lit(1), F.length(packed) - n + 1), lambda i, n=n: F.substring(packed, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)]
-    return F.concat(*sets)
+    letters = F.filter(F.split(packed, ""), lambda c: c != "")
+    return F.concat(*[ngrams(letters, n, "") for n in range(low, high + 1)])
 
 
 def bucket_of(feature: Column, seed: int, buckets: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import normalise
+from tessera.functions.text import ngrams, normalise
 
 
 def resolve(rows: DataFrame, mention: str, lookup: DataFrame, *, contains: bool = True) -> DataFrame:
@@ -29,7 +29,7 @@ def resolve(rows: DataFrame, mention: str, lookup: DataFrame, *, contains: bool
 def mentions(rows: DataFrame, id_: str, text: str, names: DataFrame, longest: int = 3) -> DataFrame:
     """(id, target) for each name (name, target) that occurs as whole words; word n-grams meet names in an equi-join."""
     words = F.filter(F.split(normalise(F.col(text)), " "), lambda w: w != "")
-    grams = [F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i, n=n: F.concat_ws(" ", F.slice(words, i + 1, n)))).otherwise(F.array().cast("array<string>")) for n in range(1, longest + 1)]
+    grams = [ngrams(words, n) for n in range(1, longest + 1)]
     seen = rows.select(id_, F.explode(F.array_distinct(F.concat(*grams))).alias("g_"))
     known = names.where(F.length("name") >= 3).select(normalise(F.col("name")).alias("g_"), "target")
     return seen.join(F.broadcast(known), "g_").select(id_, "target").distinct()
