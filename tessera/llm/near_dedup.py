@@ -5,13 +5,13 @@ register keeps the smallest, on a logarithmic scale with base `BASE` and cut to
 registers, so sketches merge, and two registers are equal with about the Jaccard similarity of the sets.
 
 The plan: one map over the texts gives sketches; equal sets become one class, stood for by its smallest id; bands of
-registers give buckets; in each bucket every class is tied to one centre, not to every other class. A pair counts as a
-candidate if the likelihood of its register comparison (greater, smaller, equal; cardinalities known) at the best
-similarity doesn't speak clearly against the threshold; candidates are confirmed on the full shingle sets. After two
-rounds of centres, a last one compares, bucket by bucket, only classes that are still in different components, so no link
-that any band has seen is lost. Of these it leaves out what can't be linked because too many shingles of one side occur
-in no other set, so a large group of copies, edited each in its own way, costs in proportion to its size. Components come from
-minimum labels with pointer jumping, as tables.
+registers give buckets; in each bucket every class is compared with one centre, not with every other class. A pair counts
+as a candidate if the likelihood of its register comparison (greater, smaller, equal; cardinalities known) at the best
+similarity doesn't speak clearly against the threshold; each class keeps its two likeliest centres, and candidates are
+confirmed on the full shingle sets. After two rounds of centres, a last one compares, bucket by bucket, only classes that
+are still in different components, so no link that any band has seen is lost. Of these it leaves out what can't be linked
+because too many shingles of one side occur in no other set, so a large group of copies, edited each in its own way, costs
+in proportion to its size. Components come from minimum labels with pointer jumping, as tables.
 
 At similarity 0.8, 32 bands of 5 registers miss a pair with probability 3e-6; above that, less.
 
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, mix64, text_blocks, words, written
@@ -82,19 +82,21 @@ def log_likelihood(j, greater, smaller, equal, n_u, n_v):
     return greater * np.log(up) + smaller * np.log(down) + equal * np.log(np.clip(1 - up - down, 1e-12, 1))
 
 
-def plausible(regs_a: np.ndarray, regs_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, threshold: float) -> np.ndarray:
-    """Which pairs of sketches (rows) may reach the threshold."""
+def plausible(regs_a: np.ndarray, regs_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of sketches (rows) may reach the threshold, and their likeliest similarities."""
     n_a, n_b = n_a.astype(float), n_b.astype(float)
     most = np.minimum(n_a, n_b) / np.maximum(n_a, n_b)
     greater, smaller = (regs_a > regs_b).sum(1), (regs_a < regs_b).sum(1)
     equal = regs_a.shape[1] - greater - smaller
-    best = np.full(len(n_a), -np.inf)
+    best, likeliest = np.full(len(n_a), -np.inf), np.zeros(len(n_a))
     for part in np.linspace(0.005, 1, 120):
-        best = np.maximum(best, log_likelihood(part * most, greater, smaller, equal, n_a, n_b))
+        now = log_likelihood(part * most, greater, smaller, equal, n_a, n_b)
+        likeliest = np.where(now > best, part * most, likeliest)
+        best = np.maximum(best, now)
     at = np.full(len(n_a), -np.inf)
     for part in np.linspace(0, 1, 40):
         at = np.maximum(at, log_likelihood(threshold + part * np.maximum(most - threshold, 0), greater, smaller, equal, n_a, n_b))
-    return (most >= threshold - 1e-9) & (2 * (best - at) <= AGAINST)
+    return (most >= threshold - 1e-9) & (2 * (best - at) <= AGAINST), likeliest
 
 
 def shingle_set(text: str, size: int) -> set:
@@ -130,7 +132,7 @@ def sketches(docs: DataFrame, size: int, doc_id: str, text: str) -> DataFrame:
 
 
 def _candidates(pairs: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
-    """Of distinct pairs (a, b) those whose sketches don't speak against a link."""
+    """Of distinct pairs (a, b) those whose sketches don't speak against a link, with the likeliest similarity j."""
     side = lambda c: sketch.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("regs").alias(f"r_{c}"))
     kind = sketch.schema["rep"].dataType.simpleString()
 
@@ -140,11 +142,17 @@ def _candidates(pairs: DataFrame, sketch: DataFrame, threshold: float) -> DataFr
             if not n:
                 continue
             ra, rb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(n, -1) for c in ("r_a", "r_b"))
-            good = plausible(ra, rb, batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), threshold)
-            yield batch.select(["a", "b"]).filter(pa.array(good))
+            good, j = plausible(ra, rb, batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), threshold)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(j)], ["a", "b", "j"]).filter(pa.array(good))
 
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-6)
-    return both.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(work, f"a {kind}, b {kind}")
+    return both.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(work, f"a {kind}, b {kind}, j double")
+
+
+def _nearest_centres(pairs: DataFrame) -> DataFrame:
+    """For each b the two likeliest a: the rounds of centres need no more, since the last round sees what they leave."""
+    order = Window.partitionBy("b").orderBy(F.desc("j"), "a")
+    return pairs.withColumn("n", F.row_number().over(order)).where("n <= 2").select("a", "b")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
@@ -251,19 +259,21 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, d
         elif turn == 1:
             pairs = near.where("component <> c.component")
         if turn < 2:
-            pairs = pairs.select(F.col("c.rep").alias("x"), F.col("rep").alias("y"))
+            pairs = pairs.select(F.col("c.rep").alias("a"), F.col("rep").alias("b"))
         else:  # whatever isn't in the component of the bucket's centre, against all of the bucket in other components
             shared_most = written(_own_shingles(open_members.select("rep").distinct(), texts, sketch_in, size), "own")
             open_members = open_members.join(shared_most, "rep")
             outside = open_members.join(centres, "key").where("component <> c.component").where(F.col("most") >= threshold * F.col("n") - 1e-6).select("key", F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("most").alias("mx"))
             inside = open_members.select("key", F.col("rep").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("most").alias("my"))
             common = F.least("mx", "my")
-            pairs = outside.join(inside, "key").where((F.col("cx") != F.col("cy")) & (common >= threshold * (F.col("nx") + F.col("ny") - common) - 1e-6)).select("x", "y")
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        found = written(_confirmed(written(_candidates(pairs, sketch_in, threshold), "candidates"), texts, size, threshold), "links")
+            pairs = outside.join(inside, "key").where((F.col("cx") != F.col("cy")) & (common >= threshold * (F.col("nx") + F.col("ny") - common) - 1e-6))
+            pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        likely = _candidates(pairs.distinct(), sketch_in, threshold)
+        likely = written(_nearest_centres(likely) if turn < 2 else likely.select("a", "b"), "candidates")
+        found = written(_confirmed(likely, texts, size, threshold), "links")
         links.append(found)
-        if turn and found.limit(1).count() == 0 and turn == 2:
-            break
+        if turn and found.isEmpty():
+            continue
         total = links[0]
         for more in links[1:]:
             total = total.unionByName(more)
