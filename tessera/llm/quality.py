@@ -106,8 +106,9 @@ class Model:
         for at in range(0, len(texts), ROWS):
             part = texts.slice(at, ROWS)
             for first, end, data, offsets in text_blocks(part):
-                y = self.project(counts(data, offsets))
-                near = y @ self.vectors.T
+                shares = np.zeros((ROWS, BUCKETS + HABITS), np.float32)  # always as many rows: a product's last bits don't hang on a row's neighbours
+                shares[: end - first] = counts(data, offsets)
+                near = (self.project(shares) @ self.vectors.T)[: end - first]
                 order = np.argpartition(-near, k - 1, axis=1)[:, :k]
                 cosine = np.maximum(np.take_along_axis(near, order, 1), 0).astype(np.float64)
                 w = cosine**POWER * self.votes[order]
