@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Words that say nothing about a topic.
 STOP_WORDS = ("the", "and", "for", "with", "from", "that", "this", "are", "was", "of", "in", "on", "to", "is", "be", "by", "or", "an", "as", "at", "it")
@@ -179,7 +180,7 @@ def guard(query: Column, longest: int = 2000) -> Column:
     return F.struct(F.left(tidy, F.lit(longest)).alias("query"), flags.alias("flags"), (F.size(attacks) > 0).alias("blocked"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(x):
     """Canonical composition and collapsed white space; there is no built-in for it."""
     import unicodedata
