@@ -114,3 +114,14 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
+
+
+ORACLES["op9_near_dedup"] = """with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') ws from documents),
+s as (select doc_id, case when len(ws) < 2 then ws else list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) end sh from w),
+x as (select doc_id, len(sh) n, unnest(sh) g from s),
+shared as (select a.doc_id p, b.doc_id q, any_value(a.n) np, any_value(b.n) nq, count(*) c from x a join x b on a.g = b.g and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) group by a.doc_id, b.doc_id),
+links as (select p, q from shared where 100 * c >= 80 * (np + nq - c)),
+edges as (select p, q from links union all select q, p from links),
+reach(id, other) as (select doc_id, doc_id from documents union select id, q from reach join edges on p = other)
+select s.doc_id, len(sh)::bigint n_shingles, component_id, s.doc_id = component_id as kept from s join (select id, min(other) component_id from reach group by id) c on c.id = s.doc_id"""
