@@ -67,13 +67,13 @@ def row_quality(spark, d):
     return _judged(spark, d).groupBy("l_returnflag", "status").agg(F.count("*").alias("n"))
 
 
-@query("rule_counts", f"""with {JUDGED}, u as (select 'DQ-SCHEMA-CONFORM' rule_id, 'BLOCK' severity, count_if(b1) n from k union all select 'DQ-PRICE-TRIANGLE', 'BLOCK', count_if(b2) from k union all select 'DQ-RANGE-QTY', 'WARN', count_if(w1) from k
-union all select 'DQ-DATE-NOT-FUTURE', 'BLOCK', count_if(b3) from k union all select 'DQ-RETURNED', 'BLOCK', count_if(r1) from k) select * from u where n > 0""")
+@query("rule_counts", f"""with {JUDGED}, u as (select 'DQ-SCHEMA-CONFORM' rule_id, 'BLOCK' severity, count_if(b1)::bigint n from k union all select 'DQ-PRICE-TRIANGLE', 'BLOCK', count_if(b2)::bigint from k union all select 'DQ-RANGE-QTY', 'WARN', count_if(w1)::bigint from k
+union all select 'DQ-DATE-NOT-FUTURE', 'BLOCK', count_if(b3)::bigint from k union all select 'DQ-RETURNED', 'BLOCK', count_if(r1)::bigint from k) select * from u where n > 0""")
 def rule_counts(spark, d):
     return quality.rule_counts(_judged(spark, d))
 
 
-@query("scorecard", f"""with {JUDGED}, s as (select count(*) n_rows, count_if(status = 'PASS') passed, count_if(status = 'QUARANTINE') quarantined, count_if(status = 'REJECT') rejected, sum(b1::int + b2::int + b3::int + r1::int)::bigint block_count, count_if(w1 and status = 'PASS') warned from k)
+@query("scorecard", f"""with {JUDGED}, s as (select count(*) n_rows, count_if(status = 'PASS')::bigint passed, count_if(status = 'QUARANTINE')::bigint quarantined, count_if(status = 'REJECT')::bigint rejected, sum(b1::int + b2::int + b3::int + r1::int)::bigint block_count, count_if(w1 and status = 'PASS')::bigint warned from k)
 select *, floor(warned / n_rows * 10000 + 0.5) / 10000 warn_rate, block_count = 0 and floor(warned / n_rows * 10000 + 0.5) / 10000 <= 0.02 promoted from s""")
 def scorecard(spark, d):
     return quality.gate(quality.scorecard(_judged(spark, d)))
@@ -86,11 +86,11 @@ def key_rule(spark, d):
     return quality.unique_key(quality.judge(r, []), ["l_orderkey", "l_linenumber"], "h").groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("contract_problems", """select o_orderkey, list_filter([case when o_orderstatus not in ('F', 'O') then 'o_orderstatus: not allowed' end, case when o_totalprice > 400000 then 'o_totalprice: above 400000' end, case when o_orderpriority is null or trim(o_orderpriority) = '' then 'o_orderpriority: required' end], lambda x: x is not null) problems
+@query("contract_problems", """select o_orderkey, array_to_string(list_filter([case when o_orderstatus not in ('F', 'O') then 'o_orderstatus: not allowed' end, case when o_totalprice > 400000 then 'o_totalprice: above 400000' end, case when o_orderpriority is null or trim(o_orderpriority) = '' then 'o_orderpriority: required' end], lambda x: x is not null), '; ') problems
 from orders where not (o_orderstatus in ('F', 'O') and o_totalprice <= 400000 and o_orderpriority is not null)""")
 def contract_problems(spark, d):
     c = contracts.Contract("orders", (contracts.Field("o_orderstatus", one_of=("F", "O")), contracts.Field("o_totalprice", "float", high=400000), contracts.Field("o_orderpriority", required=True)))
-    return table(spark, d, "orders").select("o_orderkey", c.problems().alias("problems")).where("size(problems) > 0")
+    return table(spark, d, "orders").select("o_orderkey", F.concat_ws("; ", c.problems()).alias("problems")).where("problems <> ''")
 
 
 @query("contract_drift", """select * from (values ('c', 'removed'), ('d', 'added'), ('b', 'type_changed'), ('e', 'no_longer_filterable')) t(field, change)""")
@@ -212,14 +212,14 @@ def nation_labels(spark, d):
     return resolve.labelled(table(spark, d, "customer"), "c_nationkey", table(spark, d, "nation").select("n_nationkey", "n_name"), "n_name", "nation_label").select("c_custkey", "nation_label")
 
 
-@query("order_coverage", """select count(*) wanted, count_if(c_custkey in (select o_custkey from orders)) covered, floor(count_if(c_custkey in (select o_custkey from orders)) / count(*) * 1000 + 0.5) / 1000 ratio from customer""")
+@query("order_coverage", """select count(*) wanted, count_if(c_custkey in (select o_custkey from orders))::bigint covered, floor(count_if(c_custkey in (select o_custkey from orders)) / count(*) * 1000 + 0.5) / 1000 ratio from customer""")
 def order_coverage(spark, d):
     return gaps.coverage(table(spark, d, "customer"), "c_custkey", table(spark, d, "orders"), "o_custkey")
 
 
-@query("unmet_demand", """select lower(trim(props)) mention, count(*) n, list_sort(list(distinct event_type)) sources, case when count(*) >= 60 then 'high' else 'medium' end severity from events where trim(props) <> '' group by mention order by n desc, mention limit 50""")
+@query("unmet_demand", """select lower(trim(props)) mention, count(*) n, array_to_string(list_sort(list(distinct event_type)), ',') sources, case when count(*) >= 60 then 'high' else 'medium' end severity from events where trim(props) <> '' group by mention order by n desc, mention limit 50""")
 def unmet_demand(spark, d):
-    return gaps.demand(table(spark, d, "events"), F.col("props"), F.col("event_type"), 60)
+    return gaps.demand(table(spark, d, "events"), F.col("props"), F.col("event_type"), 60).withColumn("sources", F.concat_ws(",", "sources"))
 
 
 @query("domain_coverage", """select domain, n, target, n < target as short from (select 'orders' domain, (select count(*) from orders) + (select count(*) from lineitem) n, 100000 target union all select 'text', (select count(*) from documents) + (select count(*) from pages), 1000 union all select 'talk', (select count(*) from conversations), 10000)""")

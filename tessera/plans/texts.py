@@ -23,10 +23,10 @@ def stem_sql(t: str) -> str:
     return f"case when {t} like '%ves' and len({t}) > 4 then left({t}, len({t}) - 3) || 'f' when {t} like '%ies' and len({t}) > 4 then left({t}, len({t}) - 3) || 'y' when {t} like '%es' and len({t}) > 4 then left({t}, len({t}) - 2) when {t} like '%ing' and len({t}) > 5 then left({t}, len({t}) - 3) when {t} like '%s' and len({t}) > 3 then left({t}, len({t}) - 1) else {t} end"
 
 
-@query("personal_data", """select doc_id, list_filter([case when regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}') then 'email' end, case when regexp_matches(text, '(^|[^0-9])(\\+91[ -]?)?[6-9][0-9]{9}([^0-9]|$)') then 'phone' end], lambda k: k is not null) kinds
+@query("personal_data", """select doc_id, array_to_string(list_filter([case when regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}') then 'email' end, case when regexp_matches(text, '(^|[^0-9])(\\+91[ -]?)?[6-9][0-9]{9}([^0-9]|$)') then 'phone' end], lambda k: k is not null), ',') kinds
 from documents where regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}') or regexp_matches(text, '(^|[^0-9])(\\+91[ -]?)?[6-9][0-9]{9}([^0-9]|$)')""")
 def personal_data(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.pii_kinds(F.col("text"), ("phone", "email")).alias("kinds")).where("size(kinds) > 0")
+    return table(spark, d, "documents").select("doc_id", F.concat_ws(",", T.pii_kinds(F.col("text"), ("phone", "email"))).alias("kinds")).where("kinds <> ''")
 
 
 @query("redacted_mail", """select doc_id, sha256(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[EMAIL]', 'g')) h from documents""")
@@ -34,13 +34,13 @@ def redacted_mail(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(T.redact(F.col("text"), ("email",)), 256).alias("h"))
 
 
-@query("script_languages", """select lang, case when regexp_matches(text, '[A-Za-z]') then 'en' end script, count(*) n, count_if(lang <> 'en' and regexp_matches(text, '[A-Za-z]')) warned from documents group by all""")
+@query("script_languages", """select lang, case when regexp_matches(text, '[A-Za-z]') then 'en' end script, count(*) n, count_if(lang <> 'en' and regexp_matches(text, '[A-Za-z]'))::bigint warned from documents group by all""")
 def script_languages(spark, d):
     judged = quality.judge(table(spark, d, "documents"), [quality.language_agrees("text", "lang")])
     return judged.groupBy("lang", T.script_language(F.col("text")).alias("script")).agg(F.count("*").alias("n"), F.count_if(F.size("violations") > 0).alias("warned"))
 
 
-@query("mojibake_rows", """select source, count(*) n, count_if(regexp_matches(text, '�|Ã[\u0080-¿]|â€|Â[ -¿]')) broken from documents group by all""")
+@query("mojibake_rows", """select source, count(*) n, count_if(regexp_matches(text, '�|Ã[\u0080-¿]|â€|Â[ -¿]'))::bigint broken from documents group by all""")
 def mojibake_rows(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_if(T.mojibake(F.col("text"))).alias("broken"))
 
@@ -53,7 +53,7 @@ def licence_gates(spark, d):
     return table(spark, d, "documents").select("doc_id", T.licence_gate(F.lit("example.org"), said).alias("gate"), T.licence_score(said).alias("score"))
 
 
-@query("page_hosts", """select regexp_extract(url, '://([^/?#]+)', 1) host, count(*) n, count_if(regexp_extract(url, '://([^/?#]+)', 1) like '%.gov') public from pages group by all""")
+@query("page_hosts", """select regexp_extract(url, '://([^/?#]+)', 1) host, count(*) n, count_if(regexp_extract(url, '://([^/?#]+)', 1) like '%.gov')::bigint public from pages group by all""")
 def page_hosts(spark, d):
     host = F.try_parse_url("url", F.lit("HOST"))
     return table(spark, d, "pages").groupBy(host.alias("host")).agg(F.count("*").alias("n"), F.count_if(T.licence_gate(host, F.lit("")) == "ALLOW").alias("public"))
@@ -72,7 +72,7 @@ def page_slices(spark, d):
 
 
 @query("document_sections", """with l as (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) n from documents), h as (select *, (len(line) < 90 and len(line) > 0)::int is_head from l)
-select doc_id, section, count(*) n_lines from (select doc_id, n, sum(is_head) over (partition by doc_id order by n) section from h) group by all""")
+select doc_id, section, count(*) n_lines from (select doc_id, n, sum(is_head) over (partition by doc_id order by n)::bigint section from h) group by all""")
 def document_sections(spark, d):
     """Sections begin at short lines: a running count of headers, gaps and islands."""
     from pyspark.sql import Window
@@ -219,16 +219,16 @@ def graph_neighbours(spark, d):
     return graph.neighbours(nodes, edges, F.col("type") == "nation", "both")
 
 
-@query("graph_two_hops", f"with {GRAPH} select a.source as start, a.type relation, a.target middle, list_sort(list(distinct b.target)) ends from edges a left join edges b on b.source = a.target and b.type = 'inRegion' where a.type = 'inNation' group by all")
+@query("graph_two_hops", f"with {GRAPH} select a.source as start, a.type relation, a.target middle, array_to_string(list_sort(list(distinct b.target)), ',') ends from edges a left join edges b on b.source = a.target and b.type = 'inRegion' where a.type = 'inNation' group by all")
 def graph_two_hops(spark, d):
-    return graph.two_hops(_graph(spark, d)[1], ["inNation"], "inRegion")
+    return graph.two_hops(_graph(spark, d)[1], ["inNation"], "inRegion").withColumn("ends", F.concat_ws(",", "ends"))
 
 
-@query("graph_candidates", f"with {GRAPH}, w as (select id from nodes where type = 'brand' and label in ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#14')) select source, count(*) matched, list_sort(list(target)) evidence from edges where type = 'supplies' and target in (select id from w) group by source order by matched desc, source limit 8")
+@query("graph_candidates", f"with {GRAPH}, w as (select id from nodes where type = 'brand' and label in ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#14')) select source, count(*) matched, array_to_string(list_sort(list(target)), ',') evidence from edges where type = 'supplies' and target in (select id from w) group by source order by matched desc, source limit 8")
 def graph_candidates(spark, d):
     nodes, edges = _graph(spark, d)
     wanted = nodes.where((F.col("type") == "brand") & F.col("label").isin("Brand#1", "Brand#2", "Brand#3", "Brand#14")).select(F.col("id").alias("target"))
-    return graph.by_evidence(edges, "supplies", wanted)
+    return graph.by_evidence(edges, "supplies", wanted).withColumn("evidence", F.concat_ws(",", "evidence"))
 
 
 @query("graph_paths", f"""with recursive {GRAPH}, walk(start, id, depth, path) as (select id, id, 0, [id] from nodes where type = 'supplier' union all select start, e.target, depth + 1, list_append(path, e.target) from walk join edges e on e.source = walk.id where depth < 3 and not list_contains(path, e.target))
