@@ -10,8 +10,8 @@ as a candidate if the likelihood of its register comparison (greater, smaller, e
 similarity doesn't speak clearly against the threshold; each class keeps its two likeliest centres, and candidates are
 confirmed on the full shingle sets. After two rounds of centres, a last one compares, bucket by bucket, only classes that
 are still in different components, so no link that any band has seen is lost. Of these it leaves out what can't be linked
-because too many shingles of one side occur in no other set, so a large group of copies, edited each in its own way, costs
-in proportion to its size. Components come from minimum labels with pointer jumping, as tables.
+because too many shingles of one side occur in no other set; what is left of a large group of copies edited apart can still
+grow faster than the group. Components come from minimum labels with pointer jumping, as tables.
 
 At similarity 0.8, 32 bands of 5 registers miss a pair with probability 3e-6; above that, less.
 
