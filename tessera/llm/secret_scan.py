@@ -1,10 +1,13 @@
 """Secret scanning: candidates by pattern, false positives removed by a random forest. DataFrame and SQL functions only.
 
-A candidate is a run of at least `LEAST` letters, digits, + / _ - that holds a digit, or that many capitals. What it is made
-of and what stands around it gives the features: its length, how often the class of character changes along it, shares of
+A candidate is a run of at least `LEAST` letters, digits, + / _ - that holds a digit, a capital after a small letter, or that
+many capitals; any run of `LEAST_NAMED` signs or more behind a word for a secret and = or : (up to the closing quote, or
+without the punctuation at its end); and the password of an address (scheme://user:password@host), however short. What it is
+made of and what stands around it gives the features: its length, how often the class of character changes along it, shares of
 digits and of hexadecimal digits, how many distinct characters it has, how much of it dictionary words cover, whether it
 starts like a known kind of key, whether it looks like a path, whether the path of its document is one of tests or examples,
-and whether the words before it name a secret, a checksum or a number of another kind, and what joins them to it.
+and whether the words before it name a secret, a checksum or a number of another kind, and what joins them to it. White space
+ends a candidate, so a passphrase of several words is judged by its first.
 
 The forest is grown on the driver from labelled findings: a table of a few thousand rows, made by SQL from templates of real
 and harmless candidates in contexts, with features by the same expressions. Each tree is compiled into nested CASE
@@ -26,8 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh
 
-LEAST = 16
-CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9]|[A-Z]{16})[A-Za-z0-9+/_\-]{16,}"
+LEAST, LEAST_NAMED = 16, 6
 TREES, DEPTH, FINDINGS, SEED = 25, 6, 4000, 11
 THRESHOLD = 0.5
 MASK = "[SECRET]"
@@ -35,6 +37,14 @@ MASK = "[SECRET]"
 # Beginnings that issuers give their keys, and words that go with secrets, checksums and other numbers.
 PREFIXES = "AKIA|ASIA|ghp_|gho_|github_pat_|sk_live_|rk_live_|sk-|xox[abpr]-|eyJ|AIza|glpat-|npm_|SG"
 SECRET_WORDS = "passwor[dt]|passwd|pwd|passphrase|secret|token|api[_-]?key|apikey|access[_-]?key|auth|bearer|credential|private[_-]?key|signature[_-]?key|client[_-]?secret"
+_JOINED = r"[=:]\s{0,2}(?:(?i:bearer|basic|token)\s{1,2})?[\"'`]?"
+_NAMED = (
+    rf"(?<=[=:\s\"'`])(?<={_JOINED})(?<=(?i:{SECRET_WORDS.replace('auth|', 'auth(?!or(?!i[sz]))|')})[A-Za-z0-9_\-]{{0,40}}[\"'`]?\s{{0,2}}{_JOINED})(?!(?i:bearer|basic|token)\s)"
+    r"(?:(?<=\")[^\s\"]{6,}|(?<=')[^\s']{6,}|(?<=`)[^\s`]{6,}|(?<![\"'`])(?![\"'`=:])\S{5,}[^\s.,;:)\]}>\"'`])"
+)
+_LOGIN = r"(?<=:)(?<=[A-Za-z][A-Za-z0-9+.\-]{0,15}://[^\s:/@]{0,128}:)[^\s/]+(?=@)"
+_RUN = r"(?=[A-Za-z0-9+/_\-]{16})(?=[A-Za-z+/_\-]*[0-9]|[A-Z]{16}|[A-Z+/_\-]*[a-z][a-z+/_\-]*[A-Z])[A-Za-z0-9+/_\-]{16,}"
+CANDIDATE = rf"(?<![A-Za-z0-9+/_\-])(?:{_LOGIN}|{_NAMED}|{_RUN})"
 SUM_WORDS = "sha-?1|sha-?256|sha-?512|md5|checksum|digest|commit|revision|blob|tree|etag|fingerprint|integrity|uuid|guid|build|hash"
 NUMBER_WORDS = "isbn|iban|card|phone|tel|order|invoice|account|doi|serial|tracking|version|issn|ean"
 PLACE_PATHS = "test|example|sample|fixture|mock|doc|demo"
@@ -55,17 +65,23 @@ DICTIONARY = (
     "union update upload user util value variable vector version video view virtual wait watch web width window work worker wrapper write year your zone"
 ).split()
 
+_LONG = [w for w in DICTIONARY if len(w) >= 6]
+
 #: (text around the candidate, its kind): %s stands for it. Labels: 1 a secret, 0 none.
 _CONTEXTS = {
     1: [
         ("password=%s", "hex18"), ("passwd: %s", "mix20"), ('token = "%s"', "hex40"), ("secret_key='%s'", "mix40"), ("the key is %s for now", "aws"), ("to %s on", "aws"),
         ("aws_secret_access_key = %s", "mix40"), ("Authorization: Bearer %s", "mix48"), ("api_key=%s", "hex32"), ("export TOKEN=%s", "mix36"), ("use %s here", "gh"),
         ("and %s was", "stripe"), ("client_secret: %s", "mix24"), ("pwd=%s", "mix16"), ("see %s then", "slack"), ("access token %s of", "hex40"), ("password is %s and", "mix16"), ("auth %s", "hex32"),
+        ("password=%s", "pass"), ("password: %s", "pass"), ('"passwd": "%s",', "pass"), ("pwd=%s", "signs"), ("db_password = '%s'", "signs"), ("secret: %s", "signs"), ("postgres://admin:%s@db", "pass"), ("https://bot:%s@host/x", "signs"),
+        ('token="%s"', "letters24"), ("api_key: %s", "letters24"), ("password=%s", "letters10"), ("client_secret='%s'", "letters10"), ("Authorization: Bearer %s", "letters24"), ("use %s here", "letters24"), ("password=%s and", "small"), ("password=%s", "wordpass"), ("password=%s, then", "wordpass"), ("pwd: %s", "wordpass"), ("token='%s'", "wordpass"), ("mysql://root:%s@db/x", "wordpass"), ('passwd="%s"', "small"),
     ],
     0: [
         ("commit %s", "hex40"), ("sha256: %s", "hex64"), ("md5 %s of", "hex32"), ("checksum = %s", "hex40"), ("card %s", "digits16"), ("the %s in", "digits16"), ("call %s or", "digits18"),
         ("id %s", "uuid"), ("see %s for", "path"), ("open %s", "path"), ("the %s of", "words"), ("with %s and", "words"), ("token = your-%s", "words"), ("password=%s", "filler"), ("secret: %s", "filler"),
         ("version %s", "version"), ("on %s at", "date"), ("invoice %s", "digits18"), ("tree %s", "hex40"), ("IN %s!! THE", "capitals"), ("the %s was", "capitals"), ("blob %s", "hex64"), ("image %s", "words"), ("isbn %s", "digits16"),
+        ("password: %s", "word"), ("token: %s", "word"), ("secret=%s", "word"), ('"auth": "%s"', "word"), ("password=%s", "variable"), ("token: %s", "variable"), ("password = %s", "call"), ("api_key=%s", "call"), ("password: %s", "stars"), ("secret: %s of", "prose"),
+        ("the token: %s was", "prose"), ("password: %s", "twowords"), ("call %s for", "camel"), ("the %s of", "camel"), ("token = %s", "camel"), ("amqp://user:%s@host", "variable"), ("see %s in", "camel"), ("new %s and", "camel"),
     ],
 }
 
@@ -77,6 +93,11 @@ def _maker(kind: str, i: str) -> str:
     names = ", ".join(f"'{w}'" for w in DICTIONARY[::5])
     word = lambda salt: f"element_at(array({names}), cast(pmod(hash({i}, '{salt}'), {len(DICTIONARY[::5])}) as int) + 1)"
     base32 = f"translate(upper(substring({hexes}, 1, 16)), '018', 'QXZ')"
+    plain = f"translate({mixed}, '+/', 'ab')"
+    only = f"translate({mixed}, '+/0123456789', 'kQwZrTpXsVmY')"
+    syllable = lambda salt: f"element_at(array('ba', 'ko', 'nel', 'tri', 'mus', 'ver', 'shi', 'dan', 'gol', 'pe', 'hun', 'lar'), cast(pmod(hash({i}, '{salt}'), 12) as int) + 1)"
+    small = f"concat({syllable('s')}, {syllable('t')}, {syllable('u')}, {syllable('v')})"
+    sign = lambda salt: f"element_at(array('$', '!', '#', '&', '%', '*', '@x', '^', '?', '.', '~', '('), cast(pmod(hash({i}, '{salt}'), 12) as int) + 1)"
     letters = f"translate(substring({hexes}, 1, 40), '0123456789abcdef', 'THERINGSTOANDLYE')"
     return {
         "hex18": f"substring({hexes}, 1, 18)", "hex32": f"substring({hexes}, 1, 32)", "hex40": f"substring({hexes}, 1, 40)", "hex64": hexes,
@@ -89,6 +110,14 @@ def _maker(kind: str, i: str) -> str:
         "words": f"concat({word('a')}, '-', {word('b')}, '-', {word('c')}, '-', pmod(hash({i}, 'd'), 1000))", "filler": f"concat({word('a')}, '_', {word('b')}, '_here_', pmod(hash({i}, 'd'), 1000))",
         "version": f"concat('release-', pmod(hash({i}, 'a'), 20), '-', {word('b')}, '-', pmod(hash({i}, 'c'), 100))", "date": f"concat('2', lpad(pmod(hash({i}, 'a'), 1000), 3, '0'), '-0', 1 + pmod(hash({i}, 'b'), 9), '-1', pmod(hash({i}, 'c'), 10), 'T0', pmod(hash({i}, 'd'), 10), '-30-00')",
         "capitals": f"substring({letters}, 1, 16 + cast(pmod(hash({i}, 'l'), 12) as int))", "base32": base32,
+        "pass": f"concat(substring(concat({syllable('s')}, {syllable('t')}, {word('a')}), 1, 5 + cast(pmod(hash({i}, 'l'), 6) as int)), substring({plain}, 1, 1), pmod(hash({i}, 'd'), 1000), {syllable('w')})",
+        "signs": f"concat(substring({plain}, 1, 3), {sign('x')}, substring({plain}, 4, 2 + cast(pmod(hash({i}, 'l'), 5) as int)), {sign('y')}, substring({plain}, 12, 3), pmod(hash({i}, 'd'), 100), {sign('z')}, substring({plain}, 20, 2))",
+        "letters24": f"substring({only}, 1, 16 + cast(pmod(hash({i}, 'l'), 12) as int))", "letters10": f"substring({only}, 1, 8 + cast(pmod(hash({i}, 'l'), 6) as int))", "small": small,
+        "wordpass": f"concat({word('a')}, pmod(hash({i}, 'd'), 100), if(pmod(hash({i}, 'e'), 3) = 0, '', {word('b')}))",
+        "word": "element_at(array({}), cast(pmod(hash({}, 'a'), {}) as int) + 1)".format(", ".join(f"'{w}'" for w in _LONG), i, len(_LONG)), "prose": f"concat({syllable('s')}, {syllable('t')}, {syllable('u')})",
+        "variable": f"concat(element_at(array('${{', '$', '{{{{', '<', '%'), cast(pmod(hash({i}, 'b'), 5) as int) + 1), upper({word('a')}), '_', upper({word('c')}), element_at(array('}}', '', '}}}}', '>', '%'), cast(pmod(hash({i}, 'b'), 5) as int) + 1))",
+        "call": f"concat({word('a')}, '.get_', {word('b')}, '(', {word('c')}, ')')", "stars": f"repeat(element_at(array('*', 'x', 'X', '-', '_'), cast(pmod(hash({i}, 'a'), 5) as int) + 1), 6 + cast(pmod(hash({i}, 'l'), 8) as int))",
+        "twowords": f"concat({word('a')}, '_', {word('b')})", "camel": f"concat({word('a')}, initcap({word('b')}), initcap({word('c')}), initcap({word('e')}), initcap({word('g')}), 'Id')",
     }[kind]
 
 
@@ -109,7 +138,7 @@ def findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
     return out
 
 
-FEATURES = ("length", "changes", "digits", "hexes", "distinct", "covered", "prefix", "slashes", "test_path", "secret_word", "sum_word", "number_word", "assigned", "quoted", "capitals")
+FEATURES = ("length", "changes", "digits", "hexes", "distinct", "covered", "prefix", "slashes", "test_path", "secret_word", "sum_word", "number_word", "assigned", "quoted", "capitals", "signs", "joined", "login")
 
 
 def candidates(text: Column) -> Column:
@@ -154,6 +183,9 @@ def features(c: Column, path: Column) -> Column:
         one(before.rlike(r"[=:]\s*[\"']?$")).alias("assigned"),
         one(after.rlike("^[\"']")).alias("quoted"),
         gone("[A-Z]").alias("capitals"),
+        gone(r"[^A-Za-z0-9+/_\-]").alias("signs"),
+        one(before.rlike(r"[=:][\"'`]?$")).alias("joined"),
+        one(before.rlike(r"://[^\s:/@]*:$") & after.rlike("^@")).alias("login"),
     )
 
 
