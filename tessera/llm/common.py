@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,15 +82,29 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int, base: int) -> np.ndarray:
-    """base ** 0 .. n - 1 modulo 2 ** 64."""
-    out = np.empty(n, np.uint64)
-    out[:1] = 1
-    out[1:] = np.uint64(base)
-    return np.multiply.accumulate(out)
+#: Bytes up to which words are hashed together, eight at a time; longer ones go to xxh3 one by one.
+LANES = 64
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
 
 
-_POWERS = _powers(1 << 12, 0x9E3779B97F4A7C15)
+def hash_spans(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes: eight bytes at a time go through a mixer that isn't linear.
+
+    Spans of the same length up to 8 never collide; others do by chance alone.
+    """
+    out = mix64(lengths.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(0x8CB92BA72F3D8DD7))
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    left = np.flatnonzero((lengths > 0) & (lengths <= LANES))
+    at = 0
+    while len(left):
+        rest = lengths[left] - at
+        out[left] = mix64((out[left] ^ (eight[starts[left] + at] & _MASKS[np.minimum(rest, 8)])) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(at))
+        at += 8
+        left = left[rest > 8]
+    for i in np.flatnonzero(lengths > LANES).tolist():
+        out[i] ^= np.uint64(xxhash.xxh3_64_intdigest(data[starts[i] : starts[i] + lengths[i]].tobytes(), seed=0x2545F491))
+    return out
 
 
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,7 +112,6 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
 
     Equal words have equal hashes; different ones share a 64-bit hash by chance alone.
     """
-    global _POWERS
     if lower:
         data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
     inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
@@ -112,13 +126,4 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     last = inside.copy()
     last[:-1] &= ~inside[1:] | edge[1:]
     ends = np.flatnonzero(last) + 1
-    place = np.flatnonzero(inside)
-    lengths = ends - starts
-    owner = np.repeat(np.arange(len(starts)), lengths)
-    nth = place - starts[owner]
-    longest = int(lengths.max())
-    if longest > len(_POWERS):
-        _POWERS = _powers(1 << longest.bit_length(), 0x9E3779B97F4A7C15)
-    spread = (data[place].astype(np.uint64) + np.uint64(1)) * _POWERS[nth]
-    sums = np.add.reduceat(spread, np.concatenate(([0], np.cumsum(lengths)[:-1])))
-    return mix64(sums + lengths.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)), np.searchsorted(offsets, starts, "right") - 1, starts
+    return hash_spans(data, starts, ends - starts), np.searchsorted(offsets, starts, "right") - 1, starts

@@ -4,14 +4,22 @@ A document's set holds its distinct word shingles. For each of m registers, ever
 register keeps the smallest, on a logarithmic scale with base `BASE` and cut to 16 bits. Registers of unions are maxima of
 registers, so sketches merge, and two registers are equal with about the Jaccard similarity of the sets.
 
-The plan: one map over the texts gives sketches; equal sets become one class, stood for by its smallest id; bands of
-registers give buckets; in each bucket every class is compared with one centre, not with every other class. A pair counts
-as a candidate if the likelihood of its register comparison (greater, smaller, equal; cardinalities known) at the best
-similarity doesn't speak clearly against the threshold; each class keeps its two likeliest centres, and candidates are
-confirmed on the full shingle sets. After two rounds of centres, a last one compares, bucket by bucket, only classes that
-are still in different components, so no link that any band has seen is lost. Of these it leaves out what can't be linked
-because too many shingles of one side occur in no other set; what is left of a large group of copies edited apart can still
-grow faster than the group. Components come from minimum labels with pointer jumping, as tables.
+The plan: one map over the texts gives sketches; equal sets become one class, stood for by its smallest id, and a member
+whose text differs from that of its class is confirmed against it on the full sets. Bands of registers give buckets, and links are
+found in two rounds, so no pair within a group is written out. First each class is compared with one other class only: the
+centre (smallest id) that most of its buckets share. Then buckets that still hold several components are resolved:
+
+* up to `SMALL` members: all pairs of different components, so at most `SMALL` for each row of a bucket;
+* larger: an exact join on differences from a reference set. The reference is the component that most members are in, as the
+  shingles that most of a sample of it have; any set would give right results, a near one gives short differences. Two sets
+  x and y reach the threshold t only if their differences from the reference, X and Y, have |X xor Y| <= (1 - t) / (1 + t) * (|x| + |y|),
+  so they share so many elements that one is among the first few of each, the rarest ones coming first. Only sets outside the
+  reference's component look for partners. A large group of copies edited apart shares its common text with the reference, so
+  what is left to join on are its edits, which hardly any two have in common.
+
+A pair counts as a candidate if the likelihood of its register comparison (greater, smaller, equal; cardinalities known) at the
+best similarity doesn't speak clearly against the threshold, and candidates are confirmed on the full shingle sets. Components
+come from minimum labels with pointer jumping, as tables.
 
 At similarity 0.8, 32 bands of 5 registers miss a pair with probability 3e-6; above that, less.
 
@@ -38,6 +46,12 @@ BASE, RATE, TOP = 1.001, 20.0, 65535
 BANDS, ROWS = 32, 5
 #: Twice the log of the likelihood ratio at which a pair is no candidate: for a pair at the threshold, chance below 1e-7.
 AGAINST = 30.0
+#: Members of a bucket up to which the last round compares them in pairs.
+SMALL = 16
+#: Members of a component whose shingles are counted for its reference set; it decides how fast, not what, is found.
+REFERENCE = 33
+#: Ids of rows whose texts are looked at again, up to which they are broadcast to fetch the texts; beyond it, a join by shuffle.
+BROADCAST_IDS = 250_000
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -106,7 +120,7 @@ def shingle_set(text: str, size: int) -> set:
 
 
 def sketches(docs: DataFrame, size: int, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, regs); d1 and d2 are 128 bits of a digest of the set."""
+    """(doc_id, n_shingles, d1, d2, regs, th); d1 and d2 are 128 bits of a digest of the set, th of the text."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,20 +129,22 @@ def sketches(docs: DataFrame, size: int, doc_id: str, text: str) -> DataFrame:
             for first, end, data, offsets in text_blocks(batch.column("text")):
                 hashes, owner, _ = words(data, offsets)
                 cuts = np.searchsorted(owner, np.arange(end - first + 1))
-                count, digest, regs = [], [], []
+                raw, ends = data.tobytes(), offsets.tolist()
+                count, digest, regs, own = [], [], [], []
                 for i in range(end - first):
+                    own.append(hashlib.blake2b(raw[ends[i] : ends[i + 1]], digest_size=16).digest())
                     found = shingles(hashes[cuts[i] : cuts[i + 1]], size)
                     count.append(len(found))
                     digest.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                     regs.append(registers(found, mul, add).tobytes() if len(found) else None)
                 halves = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, end - first), pa.array(count, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(regs, pa.binary())],
-                    ["doc_id", "n_shingles", "d1", "d2", "regs"],
+                    [batch.column("doc_id").slice(first, end - first), pa.array(count, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(regs, pa.binary()), pa.array(own, pa.binary())],
+                    ["doc_id", "n_shingles", "d1", "d2", "regs", "th"],
                 )
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(work, f"doc_id {kind}, n_shingles long, d1 long, d2 long, regs binary")
+    return rows.mapInArrow(work, f"doc_id {kind}, n_shingles long, d1 long, d2 long, regs binary, th binary")
 
 
 def _candidates(pairs: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
@@ -149,12 +165,6 @@ def _candidates(pairs: DataFrame, sketch: DataFrame, threshold: float) -> DataFr
     return both.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(work, f"a {kind}, b {kind}, j double")
 
 
-def _nearest_centres(pairs: DataFrame) -> DataFrame:
-    """For each b the two likeliest a: the rounds of centres need no more, since the last round sees what they leave."""
-    order = Window.partitionBy("b").orderBy(F.desc("j"), "a")
-    return pairs.withColumn("n", F.row_number().over(order)).where("n <= 2").select("a", "b")
-
-
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
     """Of pairs (a, b) those whose full sets reach the threshold."""
     kind = texts.schema["rep"].dataType.simpleString()
@@ -177,26 +187,114 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, threshold: float)
     return both.select("a", "b", "t_a", "t_b").mapInArrow(work, f"a {kind}, b {kind}")
 
 
-def _own_shingles(ids: DataFrame, texts: DataFrame, sketch: DataFrame, size: int) -> DataFrame:
-    """(rep, n, most): the size of each set, and how many of its shingles any other of these sets holds too.
+def _texts(source: DataFrame, ids: DataFrame) -> DataFrame:
+    """(rep, text) of the ids, each different text of an id once."""
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
+    rows = source.join(ids, "rep", "left_semi")
+    return written(rows.groupBy("rep", F.sha2("text", 256).alias("h")).agg(F.first("text").alias("text")).select("rep", "text"), "texts")
+
+
+def classes_of(sketch: DataFrame, source: DataFrame, size: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(d1, d2, rep, other, n_shingles, regs): the classes of equal digests, and (rep): the ids that their class's set doesn't confirm.
 
-    No two of the sets have more than the lesser `most` in common, which rules out nearly all pairs of copies that were
-    edited apart, without looking at them.
+    Equal texts need no comparison; other members of a class are compared with its representative on the full sets.
     """
+    real = sketch.where("doc_id is not null and n_shingles > 0")
+    found = real.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other"), F.min_by(F.struct("n_shingles", "regs", "th"), "doc_id").alias("s"))
+    classes = written(found.select("d1", "d2", "rep", "other", "s.*"), "classes")
+    copied = classes.where("rep <> other").select("d1", "d2", F.col("rep").alias("a"), F.col("th").alias("t"))
+    doubtful = real.join(copied, ["d1", "d2"]).where("doc_id <> a and th <> t").select("a", F.col("doc_id").alias("b")).distinct()
+    doubtful = written(doubtful, "doubtful")
+    if doubtful.isEmpty():
+        return classes, doubtful.select(F.col("b").alias("rep"))
+    texts = _texts(source, doubtful.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
+    sure = _confirmed(doubtful, texts, size, threshold)
+    return classes, written(doubtful.join(sure, ["a", "b"], "left_anti").select(F.col("b").alias("rep")).distinct(), "unconfirmed")
+
+
+def _hashed_sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, hashed shingle set) of the column text."""
+    for first, end, data, offsets in text_blocks(batch.column("text")):
+        hashes, owner, _ = words(data, offsets)
+        cuts = np.searchsorted(owner, np.arange(end - first + 1))
+        for i in range(end - first):
+            yield first + i, shingles(hashes[cuts[i] : cuts[i + 1]], size)
+
+
+def _small_pairs(buckets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components within buckets of at most SMALL rows."""
+    held = buckets.groupBy("key").agg(F.collect_list(F.struct("rep", "component")).alias("held"))
+    pairs = F.transform("held", lambda x: F.transform(F.filter("held", lambda y: (y["rep"] > x["rep"]) & (y["component"] != x["component"])), lambda y: F.struct(x["rep"].alias("a"), y["rep"].alias("b"))))
+    return held.select(F.explode(F.flatten(pairs)).alias("p")).select("p.a", "p.b")
+
+
+def _differences(buckets: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(ref, rep, component, n, q, order): for each rep of large buckets and each reference, its set's size, and its q
+    differences from the reference, those that fewest reps of this reference have first."""
     kind = texts.schema["rep"].dataType.simpleString()
+    votes = buckets.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("ref"))
+    members = written(buckets.join(votes, "key").select("ref", "rep", "component").distinct(), "members")
+    nth = F.row_number().over(Window.partitionBy("ref").orderBy(F.xxhash64("rep"), "rep"))
+    sample = members.where("component = ref").select("ref", "rep", nth.alias("nth")).where(F.col("nth") <= REFERENCE)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, found in _hashed_sets(batch, size):
+                yield pa.RecordBatch.from_arrays([batch.column("ref").take(pa.array(np.full(len(found), i))), pa.array(found.view(np.int64))], ["ref", "e"])
+
+    chosen = written(sample.join(texts, "rep").select("ref", "text"), "sample")
+    many = chosen.groupBy("ref").agg(F.count("*").alias("many"))
+    common = chosen.mapInArrow(hashed, f"ref {kind}, e long").groupBy("ref", "e").agg(F.count("*").alias("times")).join(many, "ref").where("2 * times > many")
+    cores = written(common.groupBy("ref").agg(F.collect_list("e").alias("core")), "cores")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, offsets in text_blocks(batch.column("text")):
-                hashes, owner, _ = words(data, offsets)
-                cuts = np.searchsorted(owner, np.arange(end - first + 1))
-                found = [shingles(hashes[a:b], size) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                take = pa.array(np.repeat(np.arange(first, end), [len(x) for x in found]))
-                yield pa.RecordBatch.from_arrays([batch.column("rep").take(take), pa.array(np.concatenate(found).view(np.int64))], ["rep", "s"])
+            cores_, last, core = batch.column("core"), None, None
+            refs = batch.column("ref").to_pylist()
+            for i, found in _hashed_sets(batch, size):
+                if core is None or refs[i] != last:
+                    last, core = refs[i], np.sort(cores_[i].values.to_numpy().view(np.uint64)) if cores_[i].is_valid else np.zeros(0, np.uint64)
+                out = np.setxor1d(found, core, assume_unique=True).view(np.int64)
+                if not len(out):  # one row says that there is none
+                    out = pa.nulls(1, pa.int64())
+                    q = 0
+                else:
+                    q = len(out)
+                    out = pa.array(out)
+                take = pa.array(np.full(len(out), i))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("ref", "rep", "component", "h")), pa.array(np.full(len(out), len(found))), pa.array(np.full(len(out), q)), out], ["ref", "rep", "component", "h", "n", "q", "e"])
+
+    rows = members.join(texts, "rep").join(cores, "ref", "left").select("ref", "rep", "component", F.xxhash64("text").alias("h"), "text", "core")
+    rows = written(rows.mapInArrow(work, f"ref {kind}, rep {kind}, component {kind}, h long, n long, q long, e long"), "differences")
+    times = rows.where("e is not null").groupBy("ref", "e").agg(F.count("*").alias("times"))
+    ranked = rows.join(times, ["ref", "e"], "left").groupBy("ref", "rep", "component", "h", "n", "q").agg(F.sort_array(F.collect_list(F.when(F.col("e").isNotNull(), F.struct("times", "e")))).alias("order"))
+    return written(ranked.select("ref", "rep", "component", "n", "q", F.col("order.e").alias("order")), "ordered")
+
+
+def _large_pairs(buckets: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different components that may be linked, for buckets of any size, by differences from references.
+
+    With k = (1 - t) / (1 + t) and g = q - k * n, two sets are linked only if |X xor Y| <= k * (n_x + n_y), which makes the
+    elements that X and Y share at least (g_x + g_y) / 2. Where that is positive, their first shared element in the common order
+    has at least so many elements of each behind it or in it. Where it isn't, both are linked for sure, and each of
+    them to the set of the least g, which stands in for all such pairs.
+    """
+    k = (1 - threshold) / (1 + threshold)
+    sets = _differences(buckets, texts, size).withColumn("g", F.col("q") - F.lit(k) * F.col("n"))
+    outside = F.col("component") != F.col("ref")
+    bounds = sets.groupBy("ref").agg(F.min("g").alias("least"), F.min(F.when(outside, F.col("g"))).alias("least_out"), F.min_by(F.struct("rep", "component"), "g").alias("near"))
+    sets = sets.join(bounds, "ref")
+    shared = lambda total: F.greatest(F.lit(1), F.ceil(total / 2 - 1e-6))  # noqa: E731  elements that a pair must share
 
-    rows = texts.join(ids, "rep").select("rep", "text").mapInArrow(work, f"rep {kind}, s long")
-    alone = rows.groupBy("s").agg(F.count("*").alias("times"), F.min("rep").alias("rep")).where("times = 1").groupBy("rep").agg(F.count("*").alias("own"))
-    return sketch.select("rep", F.col("n_shingles").alias("n")).join(ids, "rep").join(alone, "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most"))
+    def heads(rows: DataFrame, least: str, c: str) -> DataFrame:
+        many = F.col("q") - shared(F.col("g") + F.col(least)) + 1
+        cut = rows.where(many > 0).select("ref", F.posexplode(F.slice("order", F.lit(1), many.cast("int"))).alias("i", "e"), "rep", "component", "n", "q", "g")
+        return cut.select("ref", "e", F.col("rep").alias(c), F.col("component").alias(f"c{c}"), F.col("n").alias(f"n{c}"), (F.col("q") - F.col("i")).alias(f"l{c}"), F.col("g").alias(f"g{c}"))
+
+    x, y = heads(sets.where(outside), "least", "x"), heads(sets.where("least_out is not null"), "least_out", "y")
+    met = x.join(y, ["ref", "e"]).where((F.col("cx") != F.col("cy")) & (F.least("nx", "ny") >= threshold * F.greatest("nx", "ny") - 1e-6) & (F.least("lx", "ly") >= shared(F.col("gx") + F.col("gy"))))
+    stars = sets.where((F.col("g") + F.col("least") <= 1e-6) & (F.col("component") != F.col("near.component"))).select(F.col("rep").alias("x"), F.col("near.rep").alias("y"))
+    return met.select("x", "y").union(stars).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
@@ -222,66 +320,51 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
-    spark = docs.sparkSession
     sketch = written(sketches(docs, size, doc_id, text), "sketches")
+    source = docs.select(F.col(doc_id).alias("rep"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("rep is not null")
     real = sketch.where("doc_id is not null and n_shingles > 0")
-    classes = written(real.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other")), "classes")
-    one = classes.select("d1", "d2", F.col("rep").alias("doc_id"))
-    reps = real.join(one, ["d1", "d2", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "regs")
-    reps = written(reps, "representatives")
+    classes, unconfirmed = classes_of(sketch, source, size, threshold)
+    alone = not unconfirmed.isEmpty()
+    reps = classes.select("rep", "n_shingles", "regs")
+    if alone:
+        reps = reps.union(real.join(unconfirmed, F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", "n_shingles", "regs"))
 
     keys = F.array(*[F.xxhash64(F.lit(k), F.substring("regs", 2 * ROWS * k + 1, 2 * ROWS)) for k in range(BANDS)])
     bands = reps.select("rep", F.explode(keys).alias("key"))
-    shared = bands.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("n")).where("low < high")
+    shared = bands.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     members = written(bands.join(shared.select("key"), "key", "left_semi"), "members")
-    involved = members.select("rep").distinct()
-    source = docs.select(F.col(doc_id).alias("rep"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("rep is not null")
-    texts = written(source.join(involved.hint("shuffle_hash"), "rep", "left_semi"), "texts")
-    sketch_in = written(reps.join(involved, "rep", "left_semi"), "involved")
+    involved = written(members.select("rep").distinct(), "involved")
+    texts = _texts(source, involved)
+    sketch_in = written(reps.join(involved, "rep", "left_semi"), "sketches-in")
 
-    ids = docs.schema[doc_id].dataType.simpleString()
     # ids shared by different texts tie the classes of these texts
     ties = real.select("d1", "d2", "doc_id").join(classes, ["d1", "d2"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     again = real.groupBy("doc_id").agg(F.min("d1").alias("x"), F.max("d1").alias("y")).where("x <> y").select(F.col("doc_id").alias("b"))
-    links = [written(ties.join(again, "b", "left_semi").distinct(), "ties")]
-    labels = spark.createDataFrame([], f"id {ids}, component {ids}")
-    open_members = members
-    for turn in range(3):
-        if turn:
-            labelled = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-            mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-            open_members = written(labelled.join(mixed, "key", "left_semi"), "open")
-        order = F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")
-        centres = open_members.groupBy("key").agg(F.min_by(F.struct(*[c for c in open_members.columns if c != "key"]), order).alias("c"))
-        near = open_members.join(centres, "key")
-        if turn == 0:
-            pairs = near.where("rep <> c.rep")
-        elif turn == 1:
-            pairs = near.where("component <> c.component")
-        if turn < 2:
-            pairs = pairs.select(F.col("c.rep").alias("a"), F.col("rep").alias("b"))
-        else:  # whatever isn't in the component of the bucket's centre, against all of the bucket in other components
-            shared_most = written(_own_shingles(open_members.select("rep").distinct(), texts, sketch_in, size), "own")
-            open_members = open_members.join(shared_most, "rep")
-            outside = open_members.join(centres, "key").where("component <> c.component").where(F.col("most") >= threshold * F.col("n") - 1e-6).select("key", F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("most").alias("mx"))
-            inside = open_members.select("key", F.col("rep").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("most").alias("my"))
-            common = F.least("mx", "my")
-            pairs = outside.join(inside, "key").where((F.col("cx") != F.col("cy")) & (common >= threshold * (F.col("nx") + F.col("ny") - common) - 1e-6))
-            pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        likely = _candidates(pairs.distinct(), sketch_in, threshold)
-        likely = written(_nearest_centres(likely) if turn < 2 else likely.select("a", "b"), "candidates")
-        found = written(_confirmed(likely, texts, size, threshold), "links")
-        links.append(found)
-        if turn and found.isEmpty():
-            continue
-        total = links[0]
-        for more in links[1:]:
-            total = total.unionByName(more)
-        labels = components(total)
+    ties = written(ties.join(again, "b", "left_semi").distinct(), "ties")
+
+    def links(pairs: DataFrame) -> DataFrame:
+        likely = written(_candidates(pairs.distinct(), sketch_in, threshold).select("a", "b"), "candidates")
+        return written(_confirmed(likely, texts, size, threshold), "links")
+
+    # first, the one centre that most buckets of a class share
+    centres = members.groupBy("key").agg(F.min("rep").alias("a"))
+    counted = members.join(centres, "key").where("rep <> a").groupBy("rep", "a").agg(F.count("*").alias("n"))
+    total = ties.unionByName(links(counted.groupBy(F.col("rep").alias("b")).agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")))
+    labels = components(total)
+
+    # then whatever is in one bucket and in different components
+    labelled = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("many")).where("x < y").select("key", "many")
+    apart = written(labelled.join(mixed, "key"), "apart")
+    last = links(_small_pairs(apart.where(F.col("many") <= SMALL)).union(_large_pairs(apart.where(F.col("many") > SMALL), texts, size, threshold)))
+    if not last.isEmpty():
+        labels = components(total.unionByName(last))
 
     named = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"), F.expr("rep < other or component is not null").alias("moved")).where("moved").drop("moved")
-    plain = sketch.select("doc_id", "n_shingles", "d1", "d2")
-    linked = plain.join(named, ["d1", "d2"], "left")
+    linked = sketch.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
+    if alone:
+        own = unconfirmed.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("rep").alias("doc_id"), F.coalesce("component", "rep").alias("own"))
+        linked = linked.join(own, "doc_id", "left").withColumn("component_id", F.coalesce("own", "component_id")).drop("own")
     part = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     component = F.when(part, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return linked.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

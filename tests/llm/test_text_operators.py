@@ -241,6 +241,46 @@ def test_near_dedup_of_a_large_group_edited_apart(spark):
     assert components_of(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 2) == truth(rows, 2)
 
 
+@pytest.mark.parametrize("size", [2, 5])
+def test_near_dedup_of_a_large_group_without_its_original(spark, size):
+    """More copies than a bucket's pairs take, all edited, some a lot, and some edited further together."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(4))
+    few = [word() for _ in range(40)]
+    start, rows = [word() for _ in range(160)], []
+    for _ in range(110):
+        w = list(start)
+        for k in rng.sample(range(160), rng.choice((3, 5, 9, 12, 17, 24))):
+            w[k] = rng.choice(few)
+        rows.append(w)
+        if rng.random() < 0.3:
+            w = list(w)
+            for k in rng.sample(range(160), 4):
+                w[k] = word()
+            rows.append(w[: rng.choice((140, 150, 160))])
+    rows = [(i * 37 % len(rows), " ".join(w)) for i, w in enumerate(rows)]
+    assert components_of(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), size) == truth(rows, size)
+
+
+def thue_morse(n, a, b):
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_near_dedup_tells_words_apart_that_polynomials_confuse(spark):
+    rows = [(1, thue_morse(1024, "a", "b")), (2, thue_morse(1024, "b", "a")), (3, "a" * 70), (4, "a" * 71)]
+    assert all(i == c for i, (_, c, _) in components_of(spark.createDataFrame(rows, "doc_id long, text string"), 2).items())
+
+
+def test_near_dedup_confirms_classes(spark):
+    """Members of a class by digest whose sets aren't that of its representative are told apart."""
+    rows = [(1, "a b c"), (2, "d e f"), (3, "a  b C"), (4, "a b c")]
+    source = spark.createDataFrame(rows, "rep long, text string")
+    regs = bytes(2 * near_dedup.BANDS * near_dedup.ROWS)
+    sketch = spark.createDataFrame([(i, 2, 7, 7, regs, t.encode()) for i, t in rows], "doc_id long, n_shingles long, d1 long, d2 long, regs binary, th binary")
+    classes, unconfirmed = near_dedup.classes_of(sketch, source, 2, 0.8)
+    assert [r["rep"] for r in classes.collect()] == [1] and [r["rep"] for r in unconfirmed.collect()] == [2]
+
+
 def test_near_dedup_odd_rows(odd_docs, no_docs):
     got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(odd_docs, size=2).collect())
     assert got[(3, 0, 3, True)] == got[(4, 0, 4, True)] == got[(5, 0, 5, True)] == 1 and got[(6, 1, 6, True)] == 1
