@@ -40,7 +40,8 @@ class ByteEncoder:
     """Ids as the tokenizers library gives them for a byte-level BPE file, as little-endian unsigned 32-bit bytes.
 
     Texts in Latin letters are encoded by the rank table of the same vocabulary, which is several times as fast; what
-    holds special tokens or other letters, where two libraries' Unicode tables might differ, goes to the library itself.
+    holds special tokens or other letters, where two libraries' Unicode tables might differ, goes to the library itself,
+    and so do texts that the other encoder gives up on (a run of about a million blanks exceeds its pattern's stack).
     """
 
     def __init__(self, vocabulary: str, ranks: str | None, pattern: str | None):
@@ -67,7 +68,7 @@ class ByteEncoder:
                 if not text.isascii():
                     text.encode("latin-1")
                 return self.quick.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
-            except UnicodeEncodeError:
+            except ValueError:  # letters beyond Latin-1 are one, too
                 pass
         return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
