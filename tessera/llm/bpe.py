@@ -1,29 +1,31 @@
 """BPE encoding and decoding with a minimal acyclic transducer for frequent words.
 
-Words are counted over the whole corpus; the `LEXICON` most frequent ones are encoded once and compiled into a minimal
+Words are counted over the whole corpus; the most frequent ones, `LEXICON` at most, are encoded once and compiled into a minimal
 acyclic automaton, whose equal suffixes share states and whose arcs carry parts of an index, so that the sum along a
 word's path is its place in the table of id lists (minimal perfect hashing). The automaton and that table are one
-file of plain arrays, which workers map into memory. Words that it doesn't hold are merged exactly, pair by pair in the
+file of flat arrays in the shared folder, which workers map into memory and search where it lies: all distinct words of a block
+of texts walk through it together, one letter a step. Words that it doesn't hold are merged exactly, pair by pair in the
 order of the vocabulary's merges.
 
 Texts are cut at spaces, tabs and line breaks, where words always end; what the vocabulary's own rules make of a cut piece
-(normal form, lower case, its pattern) is done once for each distinct piece of a worker's bounded cache. Special tokens are
+(normal form, lower case, its pattern) is done once for each distinct piece of a block. Special tokens are
 found in the raw text, as the library finds them. Pieces with control characters or letters beyond the Latin ones go to the
 library itself, where two Unicode tables might differ.
 
 Defined results: null and empty texts have no ids and decode to the empty text. Everything is row by row, so repeated rows
 and any ids are fine. Decoding joins the tokens of the ids by a space, as the library does for files without a decoder.
+Long texts are coded in parts that end at white space, long words by a queue of pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import mmap
 import os
 import re
 import struct
-import tempfile
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -33,12 +35,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_text
+from .common import opened, text_blocks, with_text, work_path, written
 
-#: Words of the lexicon, most frequent first; its file has a few bytes for each letter that isn't shared.
+#: Words of the lexicon at most; its file has a few bytes for each letter that isn't shared.
 LEXICON = 150_000
-#: Pieces of a worker's cache (about 150 bytes each); a full cache is emptied.
-CACHE = 700_000
+#: Words without a place in the lexicon whose merged ids a worker keeps (about 150 bytes each); a full store is emptied.
+MERGED = 100_000
+#: Bytes of text that are coded together, and signs of a part of a longer one.
+BLOCK = 4 << 20
+#: Letters from which a word's pairs are kept in a queue.
+LONG = 200
 #: Words of one step of counting, after which counts go out.
 COUNTED = 400_000
 
@@ -53,16 +59,15 @@ def byte_letters() -> list[str]:
 
 
 class Automaton:
-    """A minimal acyclic automaton over bytes, from sorted distinct words, in three flat arrays.
+    """A minimal acyclic automaton over bytes, from sorted distinct words, in four flat arrays.
 
-    States are numbered; state s has arcs first[s] .. first[s + 1] - 1, each with a letter, a target and the number of words
-    that come before those through the arc. A word's index is the sum of its arcs' numbers, plus one for every state
+    An arc's code is its state << 8 | its letter; arcs lie in the order of their codes, each with a target and the number of
+    words that come before those through the arc. A word's index is the sum of its arcs' numbers, plus one for every state
     on its way, but the last, at which a shorter word ends.
     """
 
-    def __init__(self, first, letter, target, before, final):
-        self.first, self.letter, self.target, self.before, self.final = first, letter, target, before, final
-        self.arcs: dict[tuple[int, int], tuple[int, int]] | None = None
+    def __init__(self, code, target, before, final):
+        self.code, self.target, self.before, self.final = code, target, before, final
 
     @classmethod
     def of(cls, words: Iterable[bytes]) -> Automaton:
@@ -98,32 +103,44 @@ class Automaton:
             below[s] = final + sum(below[t] for _, t in arcs)
         order = [root, *(s for s in range(len(closed)) if s != root)]
         number = {s: n for n, s in enumerate(order)}
-        first, letter, target, before = [0], [], [], []
+        code, target, before = [], [], []
         for s in order:
             seen = 0
             for b, t in closed[s][1]:
-                letter.append(b)
+                code.append(number[s] << 8 | b)
                 target.append(number[t])
                 before.append(seen)
                 seen += below[t]
-            first.append(len(letter))
-        return cls(np.array(first, np.int32), np.array(letter, np.uint8), np.array(target, np.int32), np.array(before, np.int32), np.array([closed[s][0] for s in order], np.uint8))
+        return cls(np.array(code, np.int64), np.array(target, np.int32), np.array(before, np.int32), np.array([closed[s][0] for s in order], np.uint8))
+
+    def indices(self, words: list[bytes]) -> np.ndarray:
+        """Each word's place in sorted order, or -1; all words take a step at a time, by binary search among the arcs."""
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        out = np.full(len(words), -1)
+        if not len(self.code):
+            out[(length == 0) & bool(self.final[0])] = 0
+            return out
+        data = np.frombuffer(b"".join(words), np.uint8)
+        left, place = np.arange(len(words)), np.concatenate(([0], np.cumsum(length)[:-1])) if len(words) else length
+        state, at = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        depth = 0
+        while len(left):
+            ends = length[left] == depth
+            if ends.any():
+                done = ends & (self.final[state] == 1)
+                out[left[done]] = at[done]
+                left, state, at = left[~ends], state[~ends], at[~ends]
+            want = state << 8 | data[place[left] + depth]
+            arc = np.minimum(np.searchsorted(self.code, want), len(self.code) - 1)
+            on = self.code[arc] == want
+            left, arc, state, at = left[on], arc[on], state[on], at[on]
+            at = at + self.before[arc] + self.final[state]
+            state = self.target[arc].astype(np.int64)
+            depth += 1
+        return out
 
     def index(self, word: bytes) -> int:
-        """The word's place in sorted order, or -1."""
-        if self.arcs is None:  # by state and letter, read from the mapped arrays once
-            source = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
-            self.arcs = dict(zip((source * 256 + self.letter).tolist(), zip(self.target.tolist(), self.before.tolist(), strict=True), strict=True))
-            self.ends = self.final.tobytes()
-        s = at = 0
-        arcs, ends = self.arcs, self.ends
-        for b in word:
-            arc = arcs.get(s * 256 + b)
-            if arc is None:
-                return -1
-            at += arc[1] + ends[s]
-            s = arc[0]
-        return at if ends[s] else -1
+        return int(self.indices([word])[0])
 
 
 class Lexicon:
@@ -140,24 +157,31 @@ class Lexicon:
 
     def to_bytes(self) -> bytes:
         a = self.automaton
-        parts = [x.tobytes() for x in (a.first, a.target, a.before, self.start, self.ids, a.letter, a.final)]
-        return struct.pack("<7q", *map(len, parts)) + b"".join(parts)
+        parts = [x.tobytes() for x in (a.code, a.target, a.before, self.start, self.ids, a.final)]
+        return struct.pack("<6q", *map(len, parts)) + b"".join(parts)
 
     @classmethod
     def mapped(cls, path: str) -> Lexicon:
-        """The file's arrays, as views of mapped memory."""
-        with open(path, "rb") as f:
-            view = memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
-        at, arrays = 56, []
-        for size, kind in zip(struct.unpack("<7q", view[:56]), ("<i4", "<i4", "<i4", "<i4", "<u4", "u1", "u1"), strict=True):
+        """The file's arrays as views: of mapped memory, or of its bytes where the shared folder isn't one that can be mapped."""
+        if "://" in path and not path.startswith("file:"):
+            view = memoryview(opened(path).readall())
+        else:
+            with open(path.removeprefix("file://").removeprefix("file:"), "rb") as f:
+                view = memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+        at, arrays = 48, []
+        for size, kind in zip(struct.unpack("<6q", view[:48]), ("<i8", "<i4", "<i4", "<i4", "<u4", "u1"), strict=True):
             arrays.append(np.frombuffer(view[at : at + size], kind))
             at += size
-        first, target, before, start, ids, letter, final = arrays
-        return cls(Automaton(first, letter, target, before, final), start, ids)
+        code, target, before, start, ids, final = arrays
+        return cls(Automaton(code, target, before, final), start, ids)
 
-    def get(self, word: bytes) -> bytes | None:
-        at = self.automaton.index(word)
-        return None if at < 0 else self.ids[self.start[at] : self.start[at + 1]].tobytes()
+    def get(self, words: list[bytes]) -> list[bytes | None]:
+        """The ids of each word, None where the lexicon doesn't hold it."""
+        at = self.automaton.indices(words)
+        here = np.maximum(at, 0)
+        raw = memoryview(self.ids).cast("B") if len(self.ids) else memoryview(b"")
+        low, high = (self.start[here] * 4).tolist(), (self.start[np.minimum(here + 1, len(self.start) - 1)] * 4).tolist()
+        return [bytes(raw[a:b]) if n >= 0 else None for n, a, b in zip(at.tolist(), low, high, strict=True)]
 
 
 class Vocabulary:
@@ -195,6 +219,8 @@ class Vocabulary:
         ids[-1] = self.end_ids[word[-1]]
         get, none = self.pair_ranks.get, self.none
         ranks = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        if len(ids) > LONG:
+            return self._merge_long(ids, ranks)
         while ranks:
             low = min(ranks)
             if low == none:
@@ -208,16 +234,43 @@ class Vocabulary:
                 ranks[at] = get(new << 20 | ids[at + 1], none)
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _merge_long(self, ids: list[int], ranks: list[int]) -> bytes:
+        """The same for long words: neighbours are linked and pairs wait in a queue by (rank, place); outdated ones are passed over."""
+        get, none, n = self.pair_ranks.get, self.none, len(ids)
+        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        ranks.append(none)
+        queue = [(r, i) for i, r in enumerate(ranks) if r != none]
+        heapq.heapify(queue)
+        while queue:
+            low, at = heapq.heappop(queue)
+            if ranks[at] != low:
+                continue
+            gone = after[at]
+            new = ids[at] = self.merged_ids[low]
+            ids[gone], ranks[gone] = -1, none
+            after[at] = nxt = after[gone]
+            ranks[at] = none
+            if nxt >= 0:
+                before[nxt] = at
+                ranks[at] = get(new << 20 | ids[nxt], none)
+                if ranks[at] != none:
+                    heapq.heappush(queue, (ranks[at], at))
+            prev = before[at]
+            if prev >= 0:
+                ranks[prev] = get(ids[prev] << 20 | new, none)
+                if ranks[prev] != none:
+                    heapq.heappush(queue, (ranks[prev], prev))
+        return np.array([i for i in ids if i >= 0], "<u4").tobytes()
+
 
 class Coder:
     """Encodes and decodes texts; ids are little-endian unsigned 32-bit bytes."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
         self.v, self.lexicon = vocabulary, lexicon
-        self.pieces: dict[str, bytes] = {}
+        self.merged: dict[bytes, bytes] = {}
         self.full = None
         self.special = re.compile("(" + "|".join(map(re.escape, vocabulary.special)) + ")") if vocabulary.special else None
-        self.marks = {m: self.word(m.encode()) for m in ".,"}
         self.tokens = [vocabulary.tokens.get(i, "") for i in range(max(vocabulary.tokens) + 1)]
 
     def _library(self, piece: str) -> bytes:
@@ -229,57 +282,110 @@ class Coder:
             self.full.no_padding()
         return np.array(self.full.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def word(self, word: bytes) -> bytes:
-        got = self.lexicon.get(word) if self.lexicon else None
-        return self.v.merge(word) if got is None else got
-
-    def piece(self, piece: str) -> bytes:
-        """A piece that the cache doesn't hold. A stop or comma behind letters is a word of its own."""
-        if piece[-1] in ".," and piece[:-1].isalpha():
-            word = piece[:-1]
-            return (self.pieces.get(word) or self.piece(word)) + self.marks[piece[-1]]
-        got = b"".join(map(self.word, self.v.words(piece))) if _PLAIN.fullmatch(piece) else self._library(piece)
-        if len(piece) <= 64:
-            if len(self.pieces) >= CACHE:
-                self.pieces.clear()
-            self.pieces[piece] = got
+    def _merge(self, word: bytes) -> bytes:
+        got = self.merged.get(word)
+        if got is None:
+            if len(self.merged) >= MERGED:
+                self.merged.clear()
+            got = self.v.merge(word)
+            if len(word) <= 64:
+                self.merged[word] = got
         return got
 
-    def encode(self, text: str) -> bytes:
+    def _cut(self, text: str) -> list[str]:
+        """Pieces of a text; special tokens are pieces of their own."""
         if self.special and self.special.search(text):
-            parts = enumerate(self.special.split(text))
-            return b"".join([struct.pack("<I", self.v.special[part]) if n % 2 else self.encode(part) for n, part in parts])
-        pieces = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        out = list(map(self.pieces.get, pieces))
-        if None in out:
-            out = [(self.piece(p) if p else b"") if got is None else got for got, p in zip(out, pieces, strict=True)]
-        return b"".join(out)
+            return [p for n, part in enumerate(self.special.split(text)) for p in ([part] if n % 2 else self._plain_cut(part))]
+        return self._plain_cut(text)
+
+    @staticmethod
+    def _plain_cut(text: str) -> list[str]:
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
+    def _table(self, pieces: Iterable[str]) -> dict[str, bytes]:
+        """The ids of distinct pieces: their words go through the transducer together."""
+        out: dict[str, bytes] = {"": b""}
+        words: dict[bytes, bytes | None] = {}
+        made: list[tuple[str, list[bytes]]] = []
+        special, plain, of = self.v.special, _PLAIN.fullmatch, self.v.words
+        for p in pieces:
+            if not p:
+                continue
+            if p in special:
+                out[p] = struct.pack("<I", special[p])
+            elif not plain(p):
+                out[p] = self._library(p)
+            else:
+                last, word = p[-1], p[:-1]
+                found = [*of(word), last.encode()] if last in ".," and word.isalpha() else of(p)  # a stop or comma behind letters is a word of its own
+                made.append((p, found))
+                words.update(dict.fromkeys(found))
+        if self.lexicon and words:
+            listed = list(words)
+            words.update(zip(listed, self.lexicon.get(listed), strict=True))
+        for p, found in made:
+            ids = []
+            for w in found:
+                got = words[w]
+                if got is None:
+                    got = words[w] = self._merge(w)
+                ids.append(got)
+            out[p] = b"".join(ids)
+        return out
+
+    def _block(self, texts: Iterable[str]) -> list[bytes]:
+        cut = list(map(self._cut, texts))
+        table = self._table(set().union(*cut))
+        return [b"".join(map(table.__getitem__, c)) for c in cut]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text: those of a block at once, longer ones in parts."""
+        if all(len(t) <= BLOCK for t in texts):
+            return self._block(texts)
+        return [b"".join(self._block([part])[0] for part in parts(t)) for t in texts]
 
-    def decode(self, ids: bytes) -> str:
-        """The tokens of the ids, joined by spaces; ids that the vocabulary hasn't are left out."""
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
+
+    def decode_parts(self, ids: bytes) -> Iterator[str]:
+        """The tokens of the ids, joined by spaces, in parts to be joined; ids that the vocabulary hasn't are left out."""
         tokens, top = self.tokens, len(self.tokens)
         numbers = np.frombuffer(ids, "<u4")
         if len(numbers) and int(numbers.max()) >= top:
             numbers = numbers[numbers < top]
-        out = list(map(tokens.__getitem__, numbers.tolist()))
-        return " ".join(out if all(out) else filter(None, out))
+        begun = False
+        for at in range(0, len(numbers), BLOCK // 4):
+            out = list(map(tokens.__getitem__, numbers[at : at + BLOCK // 4].tolist()))
+            out = out if all(out) else list(filter(None, out))
+            if out:
+                yield (" " if begun else "") + " ".join(out)
+                begun = True
+
+    def decode(self, ids: bytes) -> str:
+        return "".join(self.decode_parts(ids))
+
+
+def parts(text: str) -> Iterator[str]:
+    """A long text in parts of about BLOCK signs that end before a space or line break, if there is one."""
+    at, n = 0, len(text)
+    while at < n:
+        end = min(n, at + BLOCK)
+        if end < n:
+            found = re.compile("[ \n]").search(text, end)
+            end = found.start() if found else n
+        yield text[at:end]
+        at = end
 
 
 _CODERS: dict[tuple, Coder] = {}
 
 
-def coder(vocabulary: str, lexicon: bytes | None) -> Coder:
-    """One for each worker process and lexicon; the lexicon is laid down as a file of the worker's own and mapped."""
-    key = (vocabulary, hashlib.sha256(lexicon).hexdigest() if lexicon else "")
+def coder(vocabulary: str, lexicon: str | None) -> Coder:
+    """One for each worker process and lexicon file."""
+    key = (vocabulary, lexicon)
     if key not in _CODERS:
-        mapped = None
-        if lexicon:
-            with tempfile.NamedTemporaryFile(prefix="lexicon-") as f:  # the mapping outlives the name
-                f.write(lexicon)
-                f.flush()
-                mapped = Lexicon.mapped(f.name)
         _CODERS.clear()
-        _CODERS[key] = Coder(Vocabulary(vocabulary), mapped)
+        _CODERS[key] = Coder(Vocabulary(vocabulary), Lexicon.mapped(lexicon) if lexicon else None)
     return _CODERS[key]
 
 
@@ -310,33 +416,51 @@ def word_counts(docs: DataFrame, vocabulary: str, *, text: str = "text") -> Data
     return rows.mapInArrow(work, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def build_lexicon(docs: DataFrame, vocabulary: str, *, size: int = LEXICON, text: str = "text") -> bytes:
-    """The file of the `size` most frequent words of all texts; ties go to the smaller word."""
-    top = word_counts(docs, vocabulary, text=text).orderBy(F.desc("n"), "word").limit(size)
+def build_lexicon(docs: DataFrame, vocabulary: str, *, size: int = LEXICON, text: str = "text") -> str:
+    """Writes the lexicon of the most frequent words of all texts to the shared folder and gives its path.
+
+    It holds all words that occur often enough for at most `size` of them to do so; how often that is comes from a histogram of
+    counts (up to 16 steps for each doubling), so no task sorts words or sends more than its share of the chosen.
+    """
+    counts = written(word_counts(docs, vocabulary, text=text), "words")
+    step = F.floor(F.log2("n") * 16)
+    least, held = None, 0
+    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():
+        if held + r["words"] > size:
+            break
+        least, held = r["step"], held + r["words"]
     v = Vocabulary(vocabulary)
-    return Lexicon.of({bytes(r[0]): np.frombuffer(v.merge(bytes(r[0])), "<u4").tolist() for r in top.select("word").toLocalIterator()}).to_bytes()
+    chosen = [] if least is None else [bytes(r[0]) for r in counts.where(step >= least).select("word").toLocalIterator()]
+    path = work_path(docs.sparkSession, "lexicon")
+    with opened(path, "w") as f:
+        f.write(Lexicon.of({w: np.frombuffer(v.merge(w), "<u4").tolist() for w in chosen}).to_bytes())
+    return path
 
 
-def encode(docs: DataFrame, vocabulary: str, lexicon: bytes | None, *, doc_id: str = "doc_id", text: str = "text", digests: bool = False) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, lexicon: str | None, *, doc_id: str = "doc_id", text: str = "text", digests: bool = False) -> DataFrame:
     """doc_id, n_tokens and, with digests, ids_sha256 and decoded_sha256, else ids (little-endian uint32) and decoded."""
     kind = docs.schema[doc_id].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     shape = "ids_sha256 string, decoded_sha256 string" if digests else "ids binary, decoded string"
     names = ["doc_id", "n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"])]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(vocabulary, shared.value)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+        c = coder(vocabulary, lexicon)
+        for batch in batches:
+            for first, end, _, _ in text_blocks(batch.column("text"), BLOCK):
+                coded = c.encode_all(batch.column("text").slice(first, end - first).to_pylist())
                 n, a, b = [], [], []
-                for t in batch.column("text"):
-                    ids = c.encode(t.as_py())
-                    decoded = c.decode(ids)
+                for ids in coded:
                     n.append(len(ids) // 4)
-                    a.append(hashlib.sha256(ids).hexdigest() if digests else ids)
-                    b.append(hashlib.sha256(decoded.encode()).hexdigest() if digests else decoded)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string() if digests else pa.binary()), pa.array(b, pa.string())], names)
+                    if digests:
+                        digest = hashlib.sha256()
+                        for part in c.decode_parts(ids):
+                            digest.update(part.encode())
+                        a.append(hashlib.sha256(ids).hexdigest())
+                        b.append(digest.hexdigest())
+                    else:
+                        a.append(ids)
+                        b.append(c.decode(ids))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first), pa.array(n, pa.int64()), pa.array(a, pa.string() if digests else pa.binary()), pa.array(b, pa.string())], names)
 
     return with_text(docs, doc_id, text).mapInArrow(work, f"doc_id {kind}, n_tokens long, {shape}")
 

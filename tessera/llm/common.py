@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,20 @@ def work_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+def store_of(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or address, as pyarrow opens it (file, hdfs, s3, gs), and the path in it."""
+    return pafs.FileSystem.from_uri(path if "://" in path else (path if not path.startswith("file:") else "file://" + path[5:]))
+
+
+def opened(path: str, mode: str = "r"):
+    """A file of the shared folder, to be read or written."""
+    store, place = store_of(path)
+    if mode == "r":
+        return store.open_input_file(place)
+    store.create_dir(place.rpartition("/")[0], recursive=True)
+    return store.open_output_stream(place)
+
+
 def written(df: DataFrame, tag: str, **parts) -> DataFrame:
     """df as a table in the shared folder: lineage ends there, and lost executors cost nothing that was done before."""
     path = work_path(df.sparkSession, tag)

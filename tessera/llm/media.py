@@ -24,12 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_text, work_path, written
+from .common import store_of, with_text, work_path, written
 
 WIDTH = 64
 HEADER = 33
@@ -93,10 +92,6 @@ def feature(samples: bytes) -> str:
     return f"{len(x)}:{mean:.4f}:{max((total * total).sum() / total.size - mean * mean, 0) ** 0.5:.4f}:{int(''.join(map(str, bits.astype(int))), 2):016x}"
 
 
-def _store(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path if "://" in path else (path if not path.startswith("file:") else "file://" + path[5:]))
-
-
 def write_shards(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes one tar shard for each task; gives (doc_id, n_bytes, digest, shard, offset, length, first) as a table.
 
@@ -105,7 +100,7 @@ def write_shards(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: st
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, top = _store(path)
+        store, top = store_of(path)
         shard = f"{TaskContext.get().partitionId():06d}.tar"
         mine = f"{top}/.{shard}.{uuid.uuid4().hex}"
         seen: dict[bytes, tuple[int, int, str]] = {}
@@ -177,7 +172,7 @@ def with_content(rows: DataFrame, path: str, *, contents: bool = True) -> DataFr
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, top = _store(path)
+        store, top = store_of(path)
         known: dict[str, tuple] = {}
         opened: dict[str, object] = {}
         for batch in batches:
