@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -12,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessera.llm import bpe, media, near_dedup, packing, sharding, substring_dedup
+from tessera.llm.common import store_of
 from tessera.llm.files import tokenizer_file, tokenizer_pattern
 from tessera.llm.queries import QUERIES
 
@@ -87,7 +89,7 @@ def coder(docs):
     return bpe.coder(WORDS, bpe.build_lexicon(docs, WORDS, size=3000))
 
 
-ODD = ["", "  a  b ", "<|endoftext|>x <|startoftext|>", "a<|endoftext|>b", "ΣΑΣ Σ", "İstanbul", "éa", "日本語 text", "don't I'LL it's", "1234 a1b2", "\x1c a\x85b", "a b", "!!! ... ?!", "ﬁ Ⅷ", "ß ẞ ŉ", "a\x00b", "😀 x😀y", "﻿x", "a\x0bb\x0cc", "ª º µ", "word." * 50, "x" * 5000]
+ODD = ["", "  a  b ", "<|endoftext|>x <|startoftext|>", "a<|endoftext|>b", "ΣΑΣ Σ", "İstanbul", "éa", "日本語 text", "don't I'LL it's", "1234 a1b2", "\x1c a\x85b", "a b", "!!! ... ?!", "ﬁ Ⅷ", "ß ẞ ŉ", "a\x00b", "😀 x😀y", "﻿x", "a\x0bb\x0cc", "ª º µ", "word." * 50, "x" * 5000, "ab" * 2500 + "c." * 50]
 
 
 @pytest.mark.parametrize("text", ODD)
@@ -124,7 +126,37 @@ def test_automaton_numbers_words(words, other):
 
 
 def test_automaton_shares_suffixes():
-    assert len(bpe.Automaton.of([b"talked", b"talking", b"walked", b"walking"]).first) - 1 < 14
+    assert len(bpe.Automaton.of([b"talked", b"talking", b"walked", b"walking"]).final) < 14
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("abcdeinorst", min_size=1, max_size=400))
+def test_bpe_long_merges_like_short(word):
+    v = bpe.coder(WORDS, None).v
+    ids = [v.byte_ids[b] for b in word.encode()]
+    ids[-1] = v.end_ids[word.encode()[-1]]
+    ranks = [v.pair_ranks.get(a << 20 | b, v.none) for a, b in zip(ids, ids[1:], strict=False)]
+    whole = np.array(library_cached().encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+    assert v._merge_long(ids, ranks) == v.merge(word.encode()) == whole
+
+
+@pytest.mark.parametrize("text", ["a" * 300_000, "abcdefgh" * 40_000 + " end", " " * 2_000_000, "\n" * 1_100_000 + "x", "word " * 1_000_000])
+def test_very_long_texts_take_seconds(text):
+    start = time.monotonic()
+    got, packed = bpe.coder(WORDS, None).encode(text), packing.encoder(BYTES, tokenizer_file("byte_bpe_50k.tiktoken"), tokenizer_pattern())(text)
+    took = time.monotonic() - start
+    assert np.frombuffer(got, "<u4").tolist() == library_cached().encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packed, "<u4").tolist() == library(BYTES).encode(text, add_special_tokens=False).ids
+    assert took < 30
+
+
+def test_bpe_parts_of_a_long_text(monkeypatch):
+    text = "Some words, <|endoftext|> and more.\nOthers\t" * 40
+    want = library_cached().encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(bpe, "BLOCK", 64)
+    c = bpe.Coder(bpe.Vocabulary(WORDS), None)
+    ids = c.encode(text)
+    assert np.frombuffer(ids, "<u4").tolist() == want and c.decode(ids) == library_cached().decode(want, skip_special_tokens=False)
 
 
 def test_bpe_operator(spark, odd_docs, no_docs, base):
@@ -343,6 +375,45 @@ def test_sharding_odd_rows(odd_docs, no_docs):
     assert placed.count() == 0 and not plan.affected
 
 
+def placed_groups(rows):
+    where, size = collections.defaultdict(set), collections.Counter()
+    for r in rows:
+        where[r["text_crc32"], r["size"]].add(r["shard"])
+        size[r["text_crc32"], r["size"]] += r["size"]
+    return where, size
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_sharding_keeps_equal_texts_together(spark, sf):
+    rows = QUERIES["op10_sharding"](spark, f"/root/testdata/{sf}").collect()
+    where, size = placed_groups(rows)
+    mean = sum(size.values()) / 24
+    assert all(len(where[g]) == 1 for g in where if size[g] <= sharding.SHARE * mean * 0.99)
+    load = collections.Counter()
+    for r in rows:
+        load[r["shard"]] += r["size"]
+    assert max(load.values()) - min(load.values()) <= max(size.values())
+
+
+def test_sharding_cuts_only_a_group_that_is_too_large(spark, monkeypatch):
+    rows = [(i, "the same text " * 5) for i in range(400)] + [(1000 + i, f"text {i % 150} " * (1 + i % 7)) for i in range(800)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, __shard string").repartition(5)
+    monkeypatch.setattr(sharding, "ROWS_A_BLOCK", 10)
+    placed, plan = sharding.reshard(df, old_shards=3, new_shards=6)
+    assert plan.columns == ("___shard", "__slot", "__old") and placed.columns == [*df.columns, *plan.columns]
+    got = placed.collect()
+    where, load, slots = collections.defaultdict(set), collections.Counter(), collections.defaultdict(list)
+    for r in got:
+        where[r["text"]].add(r["___shard"])
+        load[r["___shard"]] += len(r["text"]) + 8
+        slots[r["___shard"]].append(r["__slot"])
+    assert collections.Counter(r["doc_id"] for r in got) == collections.Counter(r[0] for r in rows)
+    assert len(where[rows[0][1]]) > 1 and all(len(v) == 1 for t, v in where.items() if t != rows[0][1])
+    assert max(load.values()) < 1.2 * min(load.values()) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    plan.affected.update(range(6))
+    assert sharding.rewrite(placed, plan).count() == len(rows)
+
+
 def test_unchanged_shards_move_nothing():
     blocks = {(b, 0): (b % 4, 10) for b in range(40)}
     plan = sharding.plan_blocks(blocks, 4, 4)
@@ -373,7 +444,7 @@ def test_media(spark, odd_docs, no_docs):
         assert r["media_sha256"] == r["digest"] and r["payload_bytes"] == r["width"] * r["height"]
     same = {(r["payload_sha256"], r["tail_crc32"], r["media_bytes"], r["feature"]) for r in got}
     assert len(same) == len({r["payload_sha256"] for r in got})
-    store, top = media._store(path)
+    store, top = store_of(path)
     names = [n for r in rows.select("shard").distinct().collect() for n in media.members(store.open_input_file(f"{top}/{r[0]}").readall())]
     assert set(names) == {f"{r['digest']}.png" for r in got}
     assert media.unreferenced(rows).count() == len(names) - len(set(names))
