@@ -30,9 +30,9 @@ def months_until(month: Column, wanted: Column) -> Column:
 
 
 def harvest_signal(month: Column, harvest: Column) -> Column:
-    """glut in a harvest month, lean one or two months before one, else transition; unknown without any."""
+    """harvest in a harvest month, lean one or two months before one, else transition; unknown without any."""
     away = months_until(month, harvest)
-    return F.when(F.coalesce(F.size(harvest), F.lit(0)) <= 0, "unknown").when(away == 0, "glut").when(away <= 2, "lean").otherwise("transition")
+    return F.when(F.coalesce(F.size(harvest), F.lit(0)) <= 0, "unknown").when(away == 0, "harvest").when(away <= 2, "lean").otherwise("transition")
 
 
 def sow_risk(month: Column, sowing: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import dates
@@ -36,25 +36,67 @@ def windows(calendar: DataFrame, keys: list[str], start: str, end: str, stage: s
     return each.groupBy(*keys).agg(set_of(F.col("stage") == "sowing").alias("sow"), set_of(F.col("stage").isin("harvest", "maturity")).alias("harvest"), F.countDistinct("month").alias("duration"))
 
 
-def diagnose(cases: DataFrame, entities: DataFrame, *, case_id: str, symptoms: str, crop: str, top: int = 5) -> DataFrame:
-    """(case_id, entity, score, matched, rank): entities (entity, kind, crop, text, stage) whose words fit a case's symptoms.
+# What each kind of entity is worth, and what a word, the crop and the stage add.
+AUTHORITY = {"disease": 1.0, "deficiency": 0.95, "pest": 0.9}
+PER_WORD, FOR_CROP, FOR_STAGE = 2.0, 3.0, 1.0
+#: Words of cases that one pass over the entities looks for; more take further passes.
+WORDS_A_PASS = 50_000
 
-    Stems meet in an equi-join; an entity of another crop needs three of them. Score: authority of its kind times
-    (2 per word + 3 for the crop).
-    """
-    wanted = cases.select(case_id, F.col(crop).alias("case_crop"), F.explode(F.array_distinct(F.transform(T.topic_tokens(F.col(symptoms)), T.stem))).alias("t"))
-    words = entities.select("entity", "kind", F.col("crop").alias("entity_crop"), F.explode(F.array_distinct(F.transform(T.topic_tokens(F.col("text")), T.stem))).alias("t"))
-    hit = wanted.join(words, "t").groupBy(case_id, "case_crop", "entity", "kind", "entity_crop").agg(F.countDistinct("t").alias("matched"))
-    same = F.lower("case_crop") == F.lower("entity_crop")
-    authority = F.when(F.col("kind") == "disease", 1.0).when(F.col("kind") == "deficiency", 0.95).otherwise(0.9)
-    scored = hit.where(F.coalesce(same, F.lit(False)) | (F.col("matched") >= 3)).withColumn("score", half_up(authority * (2.0 * F.col("matched") + F.when(same, 3.0).otherwise(0.0)), 2))
-    from pyspark.sql import Window
 
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(case_id).orderBy(F.desc("score"), "entity"))).where(F.col("rank") <= top).select(case_id, "entity", "score", "matched", "rank")
+def _parts_found(entities: DataFrame, words: list[str]) -> DataFrame:
+    """(entity, t): which words are part of an entity's symptom text. One automaton finds all of them in one pass over each text."""
+    kind = entities.schema["entity"].dataType.simpleString()
+    shared = entities.sparkSession.sparkContext.broadcast(words)
+
+    def work(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        automaton = ahocorasick.Automaton()
+        for w in shared.value:
+            automaton.add_word(w, w)
+        automaton.make_automaton()
+        for batch in batches:
+            row, found = [], []
+            for i, text in enumerate(batch.column("plain").to_pylist()):
+                hits = {w for _, w in automaton.iter(text)}
+                row += [i] * len(hits)
+                found += hits
+            yield pa.RecordBatch.from_arrays([batch.column("entity").take(pa.array(row, pa.int64())), pa.array(found, pa.string())], ["entity", "t"])
 
+    plain = entities.select("entity", F.coalesce(T.symptom_text(F.col("text")), F.lit("")).alias("plain"))
+    return plain.mapInArrow(work, f"entity {kind}, t string")
 
-# The first part of a forecast's words that is found gives the rain in mm.
-RAIN = (("heavy", 65.0), ("moderate", 25.0), ("light", 7.5), ("drizzle", 2.0), ("dry", 0.0), ("no rain", 0.0))
+
+def diagnose(cases: DataFrame, entities: DataFrame, *, case_id: str, symptoms: str, crop: str, stage: str | None = None, top: int = 5, strict: bool = True, lexicon: dict | None = None) -> DataFrame:
+    """(case_id, entity, score, matched, rank): entities (entity, kind, crop, text and, if there is one, stage: a list with |) that fit a case's symptoms.
+
+    A token of the symptoms fits by the stem of a word of the text, in an equi-join, or as a part of the text. With a crop
+    given, an entity must be of that crop, or, if not strict, fit three tokens. Score: authority of its kind times
+    (2 for each token + 3 for the crop), + 1 if the reported stage is among its own.
+    """
+    wanted = cases.select(case_id, F.lower(F.trim(crop)).alias("case_crop"), (F.col(stage) if stage else F.lit(None).cast("string")).alias("case_stage"), F.explode(T.symptom_tokens(F.col(symptoms), lexicon)).alias("t"))
+    own = entities.select("entity", F.explode(F.array_distinct(F.transform(F.filter(F.split(T.symptom_text(F.col("text")), "[^a-z0-9]+"), lambda w: w != ""), T.stem))).alias("s"))
+    distinct = wanted.select("t").distinct()
+    words = sorted(r["t"] for r in distinct.collect())  # those of a set of queries, not of the entities
+    found = distinct.select("t", T.stem(F.col("t")).alias("s")).join(own, "s").select("entity", "t")
+    for at in range(0, len(words), WORDS_A_PASS):
+        found = found.union(_parts_found(entities, words[at : at + WORDS_A_PASS]))
+    hits = found.distinct().join(wanted, "t").groupBy(case_id, "entity").agg(F.count("*").alias("matched"), F.first("case_crop").alias("case_crop"), F.first("case_stage").alias("case_stage"))
+    about = entities.select("entity", "kind", F.lower(F.trim("crop")).alias("entity_crop"), (F.col("stage") if "stage" in entities.columns else F.lit(None).cast("string")).alias("entity_stage"))
+    both = hits.join(about, "entity")
+    given = F.coalesce(F.col("case_crop") != "", F.lit(False))
+    same = given & F.coalesce(F.col("case_crop") == F.col("entity_crop"), F.lit(False))
+    fits = ~given | same | (F.lit(not strict) & (F.col("matched") >= 3))
+    authority = F.create_map(*[F.lit(x) for pair in AUTHORITY.items() for x in pair])[F.col("kind")]
+    bonus = F.when(F.array_contains(F.split("entity_stage", r"\|"), F.col("case_stage")), FOR_STAGE).otherwise(0.0)
+    scored = both.where(fits).withColumn("score", half_up(F.coalesce(authority, F.lit(1.0)) * (PER_WORD * F.col("matched") + F.when(same, FOR_CROP).otherwise(0.0)) + bonus, 4))
+    order = Window.partitionBy(case_id).orderBy(F.desc("score"), "entity")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select(case_id, "entity", "score", "matched", "rank")
+
+
+# The first part of a forecast's words that is found, in this order, gives the rain in mm a day.
+RAIN = (("very heavy", 120.0), ("heavy", 80.0), ("moderate", 25.0), ("scattered", 8.0), ("light", 5.0), ("drizzle", 2.0), ("dry", 0.0), ("no rain", 0.0))
 
 
 def rain_of(text: Column) -> Column:

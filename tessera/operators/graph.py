@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import if_small, kept
+
 
 def nodes_of(table: DataFrame, kind: str, id_: Column, label: Column) -> DataFrame:
     return table.select(F.concat(F.lit(f"{kind}:"), id_.cast("string")).alias("id"), F.lit(kind).alias("type"), label.cast("string").alias("label"))
@@ -48,7 +52,7 @@ def two_hops(edges: DataFrame, first: list[str], second: str, most: int = 8) ->
 
 def by_evidence(edges: DataFrame, relation: str, evidence: DataFrame, most: int = 8) -> DataFrame:
     """(source, matched, evidence): sources with the most edges of a kind to given targets (column target)."""
-    hit = edges.where(F.col("type") == relation).join(F.broadcast(evidence.select("target").distinct()), "target")
+    hit = edges.where(F.col("type") == relation).join(if_small(evidence.select("target").distinct()), "target")
     return hit.groupBy("source").agg(F.count("*").alias("matched"), F.array_sort(F.collect_list("target")).alias("evidence")).orderBy(F.desc("matched"), "source").limit(most)
 
 
@@ -56,17 +60,22 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, most: int = 5) -> DataFr
     """(start, id, depth, path): a shortest path to every node within so many steps; the start itself isn't reached.
 
     Each step joins the frontier with the edges and keeps first visits, so cycles end and no path is walked twice. Of
-    several shortest paths the one with the smallest list of ids stays.
+    several shortest paths the one with the smallest list of ids stays. Every frontier is a table, so a step costs one join
+    with the edges and one with what was seen, however many came before it; an empty frontier ends the walk.
     """
-    arcs = edges.select("source", "target").distinct()
+    arcs = kept(edges.select("source", "target").distinct(), "arcs")
     frontier = starts.select(F.col("id").alias("start"), F.col("id"), F.lit(0).alias("depth"), F.array("id").alias("path"))
-    seen = frontier
+    seen = [frontier]
     for depth in range(1, most + 1):
-        step = frontier.join(arcs, frontier["id"] == arcs["source"]).select("start", F.col("target").alias("id"), F.lit(depth).alias("depth"), F.concat("path", F.array("target")).alias("path"))
-        step = step.groupBy("start", "id").agg(F.min("depth").alias("depth"), F.min("path").alias("path"))
-        frontier = step.join(seen.select("start", "id"), ["start", "id"], "left_anti").select("start", "id", "depth", "path")
-        seen = seen.unionByName(frontier)
-    return seen.where("depth > 0")
+        step = frontier.join(arcs, frontier["id"] == arcs["source"]).select("start", F.col("target").alias("id"), F.concat("path", F.array("target")).alias("path"))
+        step = step.groupBy("start", "id").agg(F.min("path").alias("path"))
+        known = functools.reduce(DataFrame.union, [s.select("start", "id") for s in seen])
+        new = step.join(known, ["start", "id"], "left_anti").select("start", "id", F.lit(depth).alias("depth"), "path")
+        frontier = kept(new, "frontier")
+        if frontier.isEmpty():
+            break
+        seen.append(frontier)
+    return functools.reduce(DataFrame.unionByName, seen).where("depth > 0")
 
 
 def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -7,8 +7,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import dates as D
 from tessera.functions import text as T
 from tessera.functions.numbers import half_up
+from tessera.operators.contracts import Contract
 
 VIOLATION = "struct<rule_id:string,severity:string,field:string,message:string,value:string,outcome:string>"
 
@@ -19,23 +21,52 @@ class Rule:
 
     rule_id: str
     severity: str
-    field: str
+    field: str | Column
     broken: Column = field(compare=False)
-    message: str = ""
+    message: str | Column = ""
     value: Column | None = field(default=None, compare=False)
     outcome: str | Column = "quarantine"
+    domain: str = ""  # "" is every domain
 
     def violation(self) -> Column:
+        said = lambda x: x if isinstance(x, Column) else F.lit(x)
         shown = self.value if self.value is not None else F.col(self.field)
-        outcome = self.outcome if isinstance(self.outcome, Column) else F.lit(self.outcome)
-        made = F.struct(F.lit(self.rule_id).alias("rule_id"), F.lit(self.severity).alias("severity"), F.lit(self.field).alias("field"), F.lit(self.message).alias("message"), F.left(shown.cast("string"), F.lit(200)).alias("value"), outcome.alias("outcome"))
+        made = F.struct(F.lit(self.rule_id).alias("rule_id"), F.lit(self.severity).alias("severity"), said(self.field).alias("field"), said(self.message).alias("message"), F.left(shown.cast("string"), F.lit(200)).alias("value"), said(self.outcome).alias("outcome"))
         return F.when(F.coalesce(self.broken, F.lit(False)), made)
 
 
+def rules_for(rules: list[Rule], domain: str) -> list[Rule]:
+    """The rules that hold for a domain: its own and those of every domain."""
+    return [r for r in rules if r.domain in ("", domain)]
+
+
 def required(f: str) -> Rule:
     return Rule("DQ-SCHEMA-CONFORM", "BLOCK", f, F.col(f).isNull() | (F.trim(F.col(f).cast("string")) == ""), "required")
 
 
+def conforms(contract: Contract) -> Rule:
+    """The contract's first five problems, under the field of the first."""
+    problems = contract.problems()
+    shown = F.concat_ws("; ", F.slice(problems, 1, 5))
+    return Rule("DQ-SCHEMA-CONFORM", "BLOCK", F.regexp_extract(F.try_element_at(problems, F.lit(1)), "^([^ :]*)", 1), F.size(problems) > 0, shown, F.lit(""))
+
+
+# Columns that are put beside a source's own.
+OWN_FIELDS = (
+    "source", "source_id", "source_url", "authority", "authority_level", "license", "ingested_at", "quality", "run_id", "record_hash", "ingestion_method", "country", "crop", "crop_canonical",
+    "crop_scientific_name", "state_code", "district_code", "agroclimatic_zone", "agroecological_region", "record_id", "query_id", "chunk_id", "farmer_language", "season", "month", "growth_stage",
+    "expert_verified", "unit", "commodity_raw", "category", "subcategory", "answer_normalized",
+)
+
+
+def no_drift(contract: Contract, columns: list[str]) -> Rule:
+    """Columns that neither the contract nor this engine knows, where a row has a value in them."""
+    odd = [c for c in contract.unexpected(columns) if c not in OWN_FIELDS]
+    found = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in odd])) if odd else F.array().cast("array<string>")
+    listed = F.concat_ws(",", found)
+    return Rule("DQ-SCHEMA-DRIFT", "WARN", listed, F.size(found) > 0, F.concat(F.lit("unexpected fields vs contract: "), listed), F.lit(""))
+
+
 def date_parses(f: str, parsed: Column) -> Rule:
     return Rule("DQ-DATE-PARSE", "BLOCK", f, F.col(f).isNotNull() & parsed.isNull(), "not a date")
 
@@ -63,12 +94,33 @@ def known_member(rule_id: str, severity: str, f: str, known: Column) -> Rule:
 
 
 def web_address(f: str) -> Rule:
-    return Rule("DQ-SOURCE-URL", "BLOCK", f, F.col(f).isNotNull() & ~F.col(f).rlike("^https?://"), "not an http address")
+    return Rule("DQ-SOURCE-URL", "BLOCK", f, F.col(f).isNull() | ~F.col(f).rlike("^https?://"), "missing or not an http address")
+
+
+# Parts of licences that may be kept, and of those that someone has to look at.
+KEPT_LICENCES, REVIEWED_LICENCES = ("godl-india", "cc0", "cc-by", "public-domain", "open"), ("institutional", "unknown")
+
+
+def licence_text(x: Column, kind: str = "string") -> Column:
+    """Lower case and trimmed; of a struct its type, else its name."""
+    said = F.coalesce(F.nullif(x["type"], F.lit("")), x["name"]) if kind == "struct" else x
+    return F.lower(F.trim(F.coalesce(said.cast("string"), F.lit(""))))
 
 
-def licence_allowed(f: str, host: Column) -> Rule:
-    gate = T.licence_gate(host, F.col(f))
-    return Rule("DQ-LICENSE-ALLOW", "BLOCK", f, gate != "ALLOW", "licence not allowed", F.col(f), F.when(gate == "BLOCK", "reject").otherwise("quarantine"))
+def licence_allowed(f: str, kind: str = "string") -> Rule:
+    """None and those to be reviewed are quarantined, those that aren't known rejected."""
+    said = licence_text(F.col(f), kind)
+    has = lambda parts: F.exists(F.array(*map(F.lit, parts)), lambda p: F.contains(said, p))
+    return Rule("DQ-LICENSE-ALLOW", "BLOCK", f, ~has(KEPT_LICENCES), "licence not allowed", said, F.when((said == "") | has(REVIEWED_LICENCES), "quarantine").otherwise("reject"))
+
+
+# The columns of free text, in the order they are joined.
+TEXT_FIELDS = ("query_original", "answer_original", "answer_normalized", "query_en", "text", "recommendation")
+
+
+def free_text(columns: list[str]) -> Column:
+    """The columns of free text that a table has, joined by line breaks."""
+    return F.concat_ws("\n", *[F.col(c) for c in TEXT_FIELDS if c in columns])
 
 
 def live_method(f: str, live_only: bool = True) -> Rule:
@@ -76,11 +128,12 @@ def live_method(f: str, live_only: bool = True) -> Rule:
 
 
 def contact_details(f: str) -> Rule:
-    return Rule("DQ-PII-REDACT", "WARN", f, F.size(T.pii_kinds(F.col(f), ("phone", "email"))) > 0, "contact details", F.concat_ws(",", T.pii_kinds(F.col(f), ("phone", "email"))))
+    kinds = T.pii_kinds(F.col(f), T.CONTACTS)
+    return Rule("DQ-PII-REDACT", "WARN", f, F.size(kinds) > 0, "contact details", F.concat_ws(",", kinds))
 
 
 def identifiers(f: str) -> Rule:
-    kinds = T.pii_kinds(F.col(f), ("national_id", "tax_id"))
+    kinds = T.pii_kinds(F.col(f), T.IDENTIFIERS)
     return Rule("DQ-PII-IDENTIFIER", "BLOCK", f, F.size(kinds) > 0, "personal identifiers", F.concat_ws(",", kinds), "reject")
 
 
@@ -88,14 +141,25 @@ def within(rule_id: str, severity: str, f: str, low: float, high: float) -> Rule
     return Rule(rule_id, severity, f, (F.col(f) < low) | (F.col(f) > high), f"outside {low:g} to {high:g}")
 
 
+# What a soil test can show.
+SOIL_RANGES = {"N": (0, 2000), "P": (0, 500), "K": (0, 2000), "S": (0, 200), "Zn": (0, 50), "Fe": (0, 200), "Cu": (0, 50), "Mn": (0, 100), "B": (0, 20), "EC": (0, 10), "OC": (0, 5)}
+
+
+def soil_ranges(columns: dict[str, str]) -> Rule:
+    """Tests (their names by column) beyond what is plausible."""
+    out = F.array_compact(F.array(*[F.when((F.col(c) < SOIL_RANGES[t][0]) | (F.col(c) > SOIL_RANGES[t][1]), F.concat(F.lit(f"{t}="), F.col(c).cast("string"))) for c, t in columns.items()]))
+    return Rule("DQ-SOIL-RANGE", "BLOCK", "soil_test", F.size(out) > 0, "outside the plausible range", F.concat_ws(",", out), domain="soil")
+
+
 def readable(f: str) -> Rule:
     return Rule("DQ-MOJIBAKE", "BLOCK", f, T.mojibake(F.col(f)), "wrong encoding", F.left(F.col(f), F.lit(40)))
 
 
 def language_agrees(f: str, declared: str) -> Rule:
-    same = F.when(T.script_language(F.col(f)).isin("hi", "mr"), "hi").otherwise(T.script_language(F.col(f)))
-    told = F.when(F.col(declared).isin("hi", "mr"), "hi").otherwise(F.col(declared))
-    return Rule("DQ-LANG-CONSISTENT", "WARN", f, same != told, "another script than declared", told)
+    """Hindi and Marathi count as one, since they share their script."""
+    found, told = T.script_language(F.col(f)), F.col(declared)
+    same = found.eqNullSafe(told) | (F.coalesce(found.isin("hi", "mr"), F.lit(False)) & told.isin("hi", "mr"))
+    return Rule("DQ-LANG-CONSISTENT", "WARN", f, (F.trim(F.col(f)) != "") & (told != "") & ~same, "another language than declared", told)
 
 
 def in_calendar(f: str, month: Column, allowed: Column) -> Rule:
@@ -148,22 +212,43 @@ def gate(card: DataFrame, most_warned: float = 0.02) -> DataFrame:
 
 
 def volume_verdict(n: Column, history: Column, low: int | None = None, high: int | None = None) -> Column:
-    """ok, WARN or BLOCK: against a declared band, else against the upper median of five runs or more."""
+    """ok, WARN or BLOCK: against a declared band, else BLOCK beyond six deviations of the upper median of five runs or more with rows."""
     if low is not None and high is not None:
         return F.when((n < 0.5 * low) | (n > 2 * high), "BLOCK").when((n < low) | (n > high), "WARN").otherwise("ok")
-    upper = lambda a: F.element_at(F.sort_array(a), (F.floor(F.size(a) / 2) + 1).cast("int"))
-    middle = upper(history)
-    spread = upper(F.transform(history, lambda x: F.abs(x - middle)))
-    return F.when(F.size(history) < 5, "ok").when(F.abs(n - middle) > 6 * F.when(spread == 0, 1).otherwise(spread), "WARN").otherwise("ok")
+    real = F.filter(history, lambda x: x > 0)
+    upper = lambda a: F.try_element_at(F.sort_array(a), (F.floor(F.size(a) / 2) + 1).cast("int"))
+    middle = upper(real)
+    spread = upper(F.transform(real, lambda x: F.abs(x - middle)))
+    return F.when(F.size(real) < 5, "ok").when(F.abs(n - middle) > 6 * F.when(spread == 0, 1).otherwise(spread), "BLOCK").otherwise("ok")
+
+
+def freshness_verdict(rows: DataFrame, days: list[Column], now: Column, most_days: int = 45) -> DataFrame:
+    """One row: newest, age_days and verdict, WARN where the newest of all dates is older than so many days; ok without any."""
+    newest = F.max(F.greatest(*days) if len(days) > 1 else days[0])
+    age = F.datediff(now, F.col("newest"))
+    return rows.agg(newest.alias("newest")).select("newest", age.alias("age_days"), F.when(age > most_days, "WARN").otherwise("ok").alias("verdict"))
 
 
 # What each signal counts.
-WEIGHTS = {"authority": 0.25, "completeness": 0.15, "freshness": 0.15, "licence": 0.1, "resolution": 0.1, "validity": 0.1, "uniqueness": 0.1, "language": 0.05}
+WEIGHTS = {"authority_score": 0.30, "freshness_score": 0.15, "completeness_score": 0.15, "location_specificity": 0.10, "crop_specificity": 0.10, "evidence_score": 0.10, "expert_verified": 0.05, "license_score": 0.05}
+
+
+def quality_signals(*, authority: Column, published: Column, today: Column, required: list[Column], location: list[Column], crop: list[Column], evidence: list[Column], verified: Column, licence: Column) -> dict[str, Column]:
+    """The eight signals of a record, each between 0 and 1."""
+    given = lambda c: c.isNotNull() & (c.cast("string") != "")
+    any_of = lambda cs: F.exists(F.array(*map(given, cs)), lambda x: x) if cs else F.lit(False)
+    one = lambda c: F.when(c, 1.0).otherwise(0.0)
+    share = sum((one(given(c)) for c in required), F.lit(0.0)) / max(1, len(required))
+    return {
+        "authority_score": T.authority_score(authority), "freshness_score": D.freshness(published, today), "completeness_score": share,
+        "location_specificity": one(any_of(location)), "crop_specificity": one(any_of(crop)), "evidence_score": one(any_of(evidence)),
+        "expert_verified": one(F.coalesce(verified, F.lit(False))), "license_score": T.licence_score(licence),
+    }
 
 
 def quality_score(signals: dict[str, Column]) -> Column:
-    """A weighted mean of eight signals between 0 and 1, 4 places; a missing signal counts one half."""
+    """The weighted sum of the signals, 4 places."""
     total = F.lit(0.0)
     for name, weight in WEIGHTS.items():
-        total = total + F.lit(weight) * F.coalesce(signals.get(name, F.lit(None).cast("double")), F.lit(0.5))
+        total = total + signals[name] * F.lit(weight)
     return half_up(total, 4)

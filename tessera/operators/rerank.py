@@ -42,5 +42,5 @@ def learn(pairs: DataFrame, epochs: int = 120, rate: float = 0.2, shrink: float
     w = np.zeros(len(FEATURES))
     for _ in range(epochs):
         for d in x:
-            w += rate * (d / (1 + np.exp(w @ d)) - shrink * w)
+            w += rate * d / (1 + np.exp(w @ d)) - shrink * w
     return dict(zip(FEATURES, map(float, w), strict=True))

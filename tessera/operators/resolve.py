@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import ngrams, normalise
+from tessera.sources.shared import if_small
 
 
 def resolve(rows: DataFrame, mention: str, lookup: DataFrame, *, contains: bool = True) -> DataFrame:
@@ -16,23 +17,27 @@ def resolve(rows: DataFrame, mention: str, lookup: DataFrame, *, contains: bool
     """
     names = rows.select(normalise(F.col(mention)).alias("m_")).where("m_ <> ''").distinct()
     entries = lookup.select(normalise(F.col("key")).alias("k_"), "target", "priority", "ord").where("k_ <> ''")
-    exact = names.join(F.broadcast(entries), F.col("m_") == F.col("k_")).select("m_", "target", "priority", "ord", F.lit("exact").alias("match"))
+    exact = names.join(if_small(entries), F.col("m_") == F.col("k_")).select("m_", "target", "priority", "ord", F.lit("exact").alias("match"))
     found = exact
     if contains:
         rest = names.join(exact.select("m_").distinct(), "m_", "left_anti")
-        part = rest.join(F.broadcast(entries), F.contains("m_", "k_") | F.contains("k_", "m_"))
+        part = rest.join(if_small(entries), F.contains("m_", "k_") | F.contains("k_", "m_"))
         found = exact.unionByName(part.select("m_", "target", (F.col("priority") + 100).alias("priority"), "ord", F.lit("part").alias("match")))
     best = found.withColumn("n_", F.row_number().over(Window.partitionBy("m_").orderBy("priority", "ord", "target"))).where("n_ = 1").select("m_", "target", "match")
     return rows.withColumn("m_", normalise(F.col(mention))).join(best, "m_", "left").drop("m_")
 
 
-def mentions(rows: DataFrame, id_: str, text: str, names: DataFrame, longest: int = 3) -> DataFrame:
-    """(id, target) for each name (name, target) that occurs as whole words; word n-grams meet names in an equi-join."""
+def mentions(rows: DataFrame, id_: str, text: str, names: DataFrame) -> DataFrame:
+    """(id, target) for each name (name, target) that occurs as whole words; word n-grams meet names in an equi-join.
+
+    n goes through the numbers of words that the names have.
+    """
+    known = names.where(F.length("name") >= 3).select(normalise(F.col("name")).alias("g_"), "target").where("g_ <> ''")
+    lengths = sorted(r[0] for r in known.select(F.size(F.split("g_", " "))).distinct().collect())
     words = F.filter(F.split(normalise(F.col(text)), " "), lambda w: w != "")
-    grams = [ngrams(words, n) for n in range(1, longest + 1)]
+    grams = [ngrams(words, n) for n in lengths] or [F.array().cast("array<string>")]
     seen = rows.select(id_, F.explode(F.array_distinct(F.concat(*grams))).alias("g_"))
-    known = names.where(F.length("name") >= 3).select(normalise(F.col("name")).alias("g_"), "target")
-    return seen.join(F.broadcast(known), "g_").select(id_, "target").distinct()
+    return seen.join(if_small(known), "g_").select(id_, "target").distinct()
 
 
 def overlay(base: DataFrame, overrides: DataFrame, key: list[str]) -> DataFrame:
@@ -45,14 +50,14 @@ def overlay(base: DataFrame, overrides: DataFrame, key: list[str]) -> DataFrame:
 
 def banded(values: DataFrame, bands: DataFrame, on: str, value: str) -> DataFrame:
     """values with low, medium or high by their parameter's band (low_max, high_min)."""
-    both = values.join(F.broadcast(bands), on)
+    both = values.join(if_small(bands), on)
     status = F.when(F.col(value) <= F.col("low_max"), "low").when(F.col(value) >= F.col("high_min"), "high").otherwise("medium")
     return both.withColumn("status", status)
 
 
 def alerts(metrics: DataFrame, rules: DataFrame, on: str, value: str) -> DataFrame:
     """Rows of metrics that meet a rule (metric, op, threshold, alert): >= as said, anything else as <=."""
-    both = metrics.join(F.broadcast(rules), on)
+    both = metrics.join(if_small(rules), on)
     return both.where(F.when(F.col("op") == ">=", F.col(value) >= F.col("threshold")).otherwise(F.col(value) <= F.col("threshold")))
 
 
@@ -62,7 +67,7 @@ def need_status(supply: Column, need: Column) -> Column:
 
 def labelled(rows: DataFrame, id_: str, names: DataFrame, name: str, out: str) -> DataFrame:
     """rows with a label by id, or the id where there is none."""
-    return rows.join(F.broadcast(names.select(F.col(names.columns[0]).alias("id_"), F.col(name).alias("l_"))), F.col(id_) == F.col("id_"), "left").withColumn(out, F.coalesce("l_", F.col(id_).cast("string"))).drop("id_", "l_")
+    return rows.join(if_small(names.select(F.col(names.columns[0]).alias("id_"), F.col(name).alias("l_"))), F.col(id_) == F.col("id_"), "left").withColumn(out, F.coalesce("l_", F.col(id_).cast("string"))).drop("id_", "l_")
 
 
 def broken_references(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataFrame:

@@ -92,7 +92,7 @@ def support_price_labels(spark, d):
 
 
 @query("market_advisory", f"""with {PRICES}, s as ({STATS.format(k='commodity, market')} where lower(commodity) = 'brand#12' group by commodity, market)
-select *, case when month(latest_date) in (10, 11, 12) then 'glut' when month(latest_date) in (8, 9) then 'lean' else 'transition' end season_signal from s""")
+select *, case when month(latest_date) in (10, 11, 12) then 'harvest' when month(latest_date) in (8, 9) then 'lean' else 'transition' end season_signal from s""")
 def market_advisory(spark, d):
     """The stats of one commodity at every market, with the season's signal for a harvest from October to December."""
     own = market.of_commodity(prices(spark, d), "brand#12", ["commodity"])
@@ -144,7 +144,7 @@ def months_under_way(spark, d):
     return pairs.select("s", "e", F.explode(dates.months(F.col("s"), F.col("e"))).alias("m"), "n").select("s", "e", F.col("m").cast("long").alias("m"), "n")
 
 
-@query("season_signals", """select o_orderkey, case when month(o_orderdate) in (12, 1, 2) then 'glut' when month(o_orderdate) in (10, 11) then 'lean' else 'transition' end signal,
+@query("season_signals", """select o_orderkey, case when month(o_orderdate) in (12, 1, 2) then 'harvest' when month(o_orderdate) in (10, 11) then 'lean' else 'transition' end signal,
 case when month(o_orderdate) in (6, 7) then 'on' when month(o_orderdate) in (4, 5, 8, 9) then 'near' else 'off' end risk from orders""")
 def season_signals(spark, d):
     m = F.month("o_orderdate")

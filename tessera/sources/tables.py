@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from tessera.sources.shared import if_small
+
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: StructType | str) -> DataFrame:
     """With a header; empty cells are null; the schema is declared, never inferred."""
@@ -59,7 +61,7 @@ def advance(marks: DataFrame, rows: DataFrame, key: list[str], value: str) -> Da
 
 def past_marks(rows: DataFrame, marks: DataFrame, key: list[str], value: str) -> DataFrame:
     """Rows beyond their mark; all rows of keys without one."""
-    return rows.join(F.broadcast(marks.select(*key, "mark")), key, "left").where(F.col("mark").isNull() | (F.col(value) > F.col("mark"))).drop("mark")
+    return rows.join(if_small(marks.select(*key, "mark")), key, "left").where(F.col("mark").isNull() | (F.col(value) > F.col("mark"))).drop("mark")
 
 
 def stamped(rows: DataFrame, run_id: str, method: str, hash_: Column, now: dt.datetime | None = None) -> DataFrame:
@@ -71,20 +73,32 @@ def stamped(rows: DataFrame, run_id: str, method: str, hash_: Column, now: dt.da
 
 
 class PagedReader(DataSourceReader):
-    """One partition for each page; a page shorter than the limit ends the reading of what lies behind it."""
+    """Reads pages until one is shorter than the limit. With a declared number of rows each page is a partition of its own."""
 
-    def __init__(self, fetch: Callable[[int, int], list[tuple]], limit: int, most: int):
+    def __init__(self, fetch: Callable[[int, int], list[tuple]], limit: int, most: int | None):
         self.fetch, self.limit, self.most = fetch, limit, most
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(offset) for offset in range(0, self.most, self.limit)]
+        return [InputPartition(None)] if self.most is None else [InputPartition(offset) for offset in range(0, self.most, self.limit)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        yield from self.fetch(partition.value, min(self.limit, self.most - partition.value))
+        if partition.value is not None:
+            yield from self.fetch(partition.value, min(self.limit, self.most - partition.value))
+            return
+        offset = 0
+        while True:
+            page = self.fetch(offset, self.limit)
+            yield from page
+            if len(page) < self.limit:
+                return
+            offset += self.limit
+
 
+def paged_source(name_: str, schema_: str, fetch: Callable[[int, int], list[tuple]], limit: int = 100, most: int | None = None) -> type[DataSource]:
+    """A data source class over fetch(offset, limit) -> rows; register it with spark.dataSource.register.
 
-def paged_source(name_: str, schema_: str, fetch: Callable[[int, int], list[tuple]], limit: int = 100, most: int = 1000) -> type[DataSource]:
-    """A data source class over fetch(offset, limit) -> rows; register it with spark.dataSource.register."""
+    Without `most` (also an option) all pages are read, one after the other, since only a short page says where the source ends.
+    """
 
     class Paged(DataSource):
         @classmethod
@@ -95,6 +109,7 @@ def paged_source(name_: str, schema_: str, fetch: Callable[[int, int], list[tupl
             return schema_
 
         def reader(self, schema: StructType) -> DataSourceReader:
-            return PagedReader(fetch, int(self.options.get("limit", limit)), int(self.options.get("most", most)))
+            told = self.options.get("most", most)
+            return PagedReader(fetch, int(self.options.get("limit", limit)), None if told is None else int(told))
 
     return Paged

@@ -2,21 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
+from tessera.sources.shared import shared_folder
 from tessera.streaming.events import ingest
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or where unset a temporary one."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    return f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """What a stream gives until its source has no more, as a table."""
     spark, path = stream.sparkSession, shared_folder(stream.sparkSession)

@@ -75,7 +75,23 @@ def test_pictures(spark):
     green = np.zeros((4, 4, 3), np.uint8)
     green[:, :, 1] = 200
     green[0] = (230, 220, 40)
-    df = spark.createDataFrame([(bytearray(png(green)),), (bytearray(b"no"),)], "data binary").select(images.colours("data").alias("c"))
-    first, second = df.withColumn("d", images.described(F.col("c"))).collect()
-    assert first["c"]["green"] == 0.75 and first["c"]["yellow"] == 0.25 and first["d"] == ["yellow"] and second["c"] is None
-    assert spark.range(1).select(images.word_score(F.array(F.lit("spot"), F.lit("leaf")), F.lit("Leaf spots")).alias("s")).first()["s"] == 3
+    flat = lambda *c: bytearray(png(np.full((3, 3, 3), c, np.uint8)))
+    rows = [(0, bytearray(png(green))), (1, bytearray(b"no")), (2, flat(30, 180, 40)), (3, flat(20, 20, 20)), (4, flat(120, 80, 40)), (5, flat(240, 240, 240))]
+    df = spark.createDataFrame(rows, "i int, data binary").select("i", images.colours("data").alias("c")).orderBy("i")
+    got = df.withColumn("d", images.described(F.col("c"))).collect()
+    assert got[0]["c"]["green"] == 0.75 and got[0]["c"]["yellow"] == 0.25 and got[0]["d"] == [] and got[1]["c"] is None
+    assert got[2]["d"] == ["healthy"] and got[3]["c"]["black"] == got[3]["c"]["dark"] == 1.0 and got[3]["d"] == ["black", "sooty", "spots"]
+    assert got[4]["d"] == ["brown", "spots", "necrosis", "rust"] and got[5]["d"] == ["white", "powdery", "mildew"]
+    assert images.sampled(np.zeros((200, 300, 3), np.uint8)).shape == (67, 100, 3)
+    words = F.array(F.lit("spot"), F.lit("leaf"))
+    assert spark.range(1).select(images.word_score(words, F.lit("Leaf spots")).alias("s")).first()["s"] == 3
+    assert spark.range(1).select(images.word_matches(words, F.lit("Leaf spots")).alias("s")).first()["s"] == ["leaf"]
+
+
+def test_learned_weights_shrink_by_the_whole_decay(spark):
+    s = "similarity:double,tokens:double,authority:double,title:double,bias:double"
+    pairs = spark.createDataFrame([(0, (1.0, 0.0, 0.0, 0.0, 1.0), (0.0, 0.0, 0.0, 0.0, 1.0))], f"ord int, better struct<{s}>, worse struct<{s}>")
+    w = 0.0
+    for _ in range(3):
+        w += 0.2 / (1 + np.exp(w)) - 0.002 * w
+    assert abs(rerank.learn(pairs, epochs=3)["similarity"] - w) < 1e-12
