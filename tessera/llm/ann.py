@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, written
+from .common import map_arrow, mix64, written
 
 TABLES = 8
 CALIBRATE = 48
@@ -145,7 +145,7 @@ def _packed(rows: DataFrame, *keep: str) -> DataFrame:
             at = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array([flat[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], [*names, "vec"])
 
-    return rows.select(*names, "v").mapInArrow(work, ", ".join(f"{n} long" for n in names) + ", vec binary")
+    return map_arrow(rows.select(*names, "v"), work, ", ".join(f"{n} long" for n in names) + ", vec binary")
 
 
 def _calibrated(rows: DataFrame, queries: DataFrame, hash_: Hash, k: int, target: float) -> int:
@@ -174,7 +174,7 @@ def _calibrated(rows: DataFrame, queries: DataFrame, hash_: Hash, k: int, target
                 ["q", "vec_id", "score", "vec"],
             )
 
-    ranked = rows.mapInArrow(work, "q int, vec_id long, score double, vec binary").withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= k + 1)
+    ranked = map_arrow(rows, work, "q int, vec_id long, score double, vec binary").withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= k + 1)
     truth = [r for r in ranked.collect() if r["vec_id"] != own[r["q"]]]
     if not truth:
         return 1
@@ -223,10 +223,10 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, tables: int =
         return work
 
     shape = "key long, id long, vec binary"
-    held = index.mapInArrow(keyed(False), shape)
+    held = map_arrow(index, keyed(False), shape)
     sizes = held.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > PART_ROWS)
     large = written(sizes.select(F.col("key").alias("k"), F.ceil(F.col("n") / PART_ROWS).cast("int").alias("parts")), "parts")
-    asking = queries.mapInArrow(keyed(True), shape)
+    asking = map_arrow(queries, keyed(True), shape)
     held = held.join(large, F.col("key") == F.col("k"), "left").select("key", F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), F.lit(0)).alias("part"), F.lit(1).alias("kind"), "id", "vec")
     asking = asking.join(large, F.col("key") == F.col("k"), "left").select("key", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), F.lit(0).alias("kind"), "id", "vec")
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * tables // 100_000))
@@ -270,7 +270,7 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, tables: int =
         if done is not None:
             yield done
 
-    near = met.mapInArrow(search, "class long, vec_id long, score double").distinct()
+    near = map_arrow(met, search, "class long, vec_id long, score double").distinct()
     order = Window.partitionBy("class").orderBy(F.desc("score"), "vec_id")
     best = written(near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).drop("n"), "nearest")
     mine = members.join(best, "class").where("query_id <> vec_id")

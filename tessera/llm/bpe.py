@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import opened, text_blocks, with_text, work_path, written
+from .common import map_arrow, opened, text_blocks, with_text, work_path, written
 
 #: Words of the lexicon at most; its file has a few bytes for each letter that isn't shared.
 LEXICON = 150_000
@@ -413,7 +413,7 @@ def word_counts(docs: DataFrame, vocabulary: str, *, text: str = "text") -> Data
         yield flush()
 
     rows = with_text(docs.select(F.lit(0).alias("doc_id"), F.col(text).alias("text"))).select("text")
-    return rows.mapInArrow(work, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return map_arrow(rows, work, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(docs: DataFrame, vocabulary: str, *, size: int = LEXICON, text: str = "text") -> str:
@@ -462,7 +462,7 @@ def encode(docs: DataFrame, vocabulary: str, lexicon: str | None, *, doc_id: str
                         b.append(c.decode(ids))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first), pa.array(n, pa.int64()), pa.array(a, pa.string() if digests else pa.binary()), pa.array(b, pa.string())], names)
 
-    return with_text(docs, doc_id, text).mapInArrow(work, f"doc_id {kind}, n_tokens long, {shape}")
+    return map_arrow(with_text(docs, doc_id, text), work, f"doc_id {kind}, n_tokens long, {shape}")
 
 
 def round_trip(docs: DataFrame, vocabulary: str, *, size: int = LEXICON, digests: bool = False) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, text_blocks, written
+from .common import fresh, give_back, text_blocks, written
 
 BUCKETS = 1 << 16
 LEAST_TRIGRAMS = 8
@@ -113,6 +113,7 @@ def text_evidence(model: TextModel, spark):
     @F.arrow_udf("array<double>")
     def evidence(texts: pa.Array) -> pa.Array:
         found = shared.value.evidence(texts)
+        give_back()
         return pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * found.shape[1]), pa.array(found.ravel()))
 
     return evidence

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store_of, with_text, work_path, written
+from .common import map_arrow, store_of, with_text, work_path, written
 
 WIDTH = 64
 HEADER = 33
@@ -138,7 +138,7 @@ def write_shards(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: st
             out.close()
             store.move(mine, f"{top}/{shard}")
 
-    rows = with_text(docs, doc_id, text).mapInArrow(work, f"doc_id {kind}, n_bytes long, digest string, shard string, offset long, length long, first boolean")
+    rows = map_arrow(with_text(docs, doc_id, text), work, f"doc_id {kind}, n_bytes long, digest string, shard string, offset long, length long, first boolean")
     return written(rows, "media-rows")
 
 
@@ -202,7 +202,7 @@ def with_content(rows: DataFrame, path: str, *, contents: bool = True) -> DataFr
             if len(known) > 50_000:
                 known.clear()
 
-    return rows.mapInArrow(work, f"doc_id {kind}, {CONTENT}")
+    return map_arrow(rows, work, f"doc_id {kind}, {CONTENT}")
 
 
 def media_columns(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:

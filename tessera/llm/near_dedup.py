@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, mix64, text_blocks, words, written
+from .common import fresh, map_arrow, mix64, text_blocks, words, written
 
 BASE, RATE, TOP = 1.001, 20.0, 65535
 BANDS, ROWS = 32, 5
@@ -144,7 +144,7 @@ def sketches(docs: DataFrame, size: int, doc_id: str, text: str) -> DataFrame:
                 )
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(work, f"doc_id {kind}, n_shingles long, d1 long, d2 long, regs binary, th binary")
+    return map_arrow(rows, work, f"doc_id {kind}, n_shingles long, d1 long, d2 long, regs binary, th binary")
 
 
 def _candidates(pairs: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
@@ -162,7 +162,7 @@ def _candidates(pairs: DataFrame, sketch: DataFrame, threshold: float) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(j)], ["a", "b", "j"]).filter(pa.array(good))
 
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-6)
-    return both.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(work, f"a {kind}, b {kind}, j double")
+    return map_arrow(both.select("a", "b", "n_a", "n_b", "r_a", "r_b"), work, f"a {kind}, b {kind}, j double")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
@@ -184,7 +184,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, threshold: float)
 
     side = lambda c: texts.select(F.col("rep").alias(c), F.col("text").alias(f"t_{c}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
-    return both.select("a", "b", "t_a", "t_b").mapInArrow(work, f"a {kind}, b {kind}")
+    return map_arrow(both.select("a", "b", "t_a", "t_b"), work, f"a {kind}, b {kind}")
 
 
 def _texts(source: DataFrame, ids: DataFrame) -> DataFrame:
@@ -244,7 +244,7 @@ def _differences(buckets: DataFrame, texts: DataFrame, size: int) -> DataFrame:
 
     chosen = written(sample.join(texts, "rep").select("ref", "text"), "sample")
     many = chosen.groupBy("ref").agg(F.count("*").alias("many"))
-    common = chosen.mapInArrow(hashed, f"ref {kind}, e long").groupBy("ref", "e").agg(F.count("*").alias("times")).join(many, "ref").where("2 * times > many")
+    common = map_arrow(chosen, hashed, f"ref {kind}, e long").groupBy("ref", "e").agg(F.count("*").alias("times")).join(many, "ref").where("2 * times > many")
     cores = written(common.groupBy("ref").agg(F.collect_list("e").alias("core")), "cores")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +265,7 @@ def _differences(buckets: DataFrame, texts: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("ref", "rep", "component", "h")), pa.array(np.full(len(out), len(found))), pa.array(np.full(len(out), q)), out], ["ref", "rep", "component", "h", "n", "q", "e"])
 
     rows = members.join(texts, "rep").join(cores, "ref", "left").select("ref", "rep", "component", F.xxhash64("text").alias("h"), "text", "core")
-    rows = written(rows.mapInArrow(work, f"ref {kind}, rep {kind}, component {kind}, h long, n long, q long, e long"), "differences")
+    rows = written(map_arrow(rows, work, f"ref {kind}, rep {kind}, component {kind}, h long, n long, q long, e long"), "differences")
     times = rows.where("e is not null").groupBy("ref", "e").agg(F.count("*").alias("times"))
     ranked = rows.join(times, ["ref", "e"], "left").groupBy("ref", "rep", "component", "h", "n", "q").agg(F.sort_array(F.collect_list(F.when(F.col("e").isNotNull(), F.struct("times", "e")))).alias("order"))
     return written(ranked.select("ref", "rep", "component", "n", "q", F.col("order.e").alias("order")), "ordered")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_text
+from .common import map_arrow, with_text
 
 PIECES = "doc_id {id}, piece int, start long, length long, bucket int, doc_tokens long, ids binary"
 
@@ -116,7 +116,7 @@ def pack(docs: DataFrame, vocabulary: str, *, ranks: str | None = None, pattern:
                     ["doc_id", "piece", "start", "length", "bucket", "doc_tokens", "ids"],
                 )
 
-    cut_up = plain.mapInArrow(cut, PIECES.format(id=kind))
+    cut_up = map_arrow(plain, cut, PIECES.format(id=kind))
     return cut_up.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
 
 

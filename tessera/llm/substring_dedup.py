@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, text_blocks, written
+from .common import fresh, map_arrow, text_blocks, written
 
 LEAST_WORDS = 25
 
@@ -121,7 +121,7 @@ def spans(docs: DataFrame, least: int, doc_id: str, text: str) -> DataFrame:
                 )
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text")).where("text is not null")
-    return rows.mapInArrow(work, f"h long, c int, doc_id {kind}, th long, at long")
+    return map_arrow(rows, work, f"h long, c int, doc_id {kind}, th long, at long")
 
 
 def _cut(text: bytes, places: list[int]) -> bytes:
@@ -175,4 +175,4 @@ def dedup(docs: DataFrame, *, least_words: int = LEAST_WORDS, doc_id: str = "doc
             yield pa.RecordBatch.from_arrays([*columns[:to], pa.array(spans_, pa.int32()), pa.array(gone, pa.int64())], names)
 
     shape = T.StructType([*docs.schema.fields, T.StructField(n_spans, T.IntegerType()), T.StructField(n_bytes, T.LongType())])
-    return both.mapInArrow(work, shape)
+    return map_arrow(both, work, shape)
