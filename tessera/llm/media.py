@@ -5,8 +5,10 @@ task writes its images to one tar shard, a repeated one once, and gives rows of
 shards hold one digest, all its rows go by the first copy; the others are unreferenced and `unreferenced` lists them.
 Metadata columns come from range reads of the 33 bytes of signature and header; contents from reads of whole members.
 
-Shards are files in the shared folder, through any file system that pyarrow opens (file, hdfs, s3, gs). A shard is written
-under a name of its attempt and then moved, so a task that runs again, or twice, leaves the same shard behind.
+Shards are files in the shared folder, through any file system that pyarrow opens (file, hdfs, s3, gs). A shard's name is that
+of the attempt that wrote it and stands in its rows, so rows that are kept go with the shard that belongs to them, even if a
+task runs again or twice; what other attempts leave behind is referred to by no row. Contents are read shard by shard, one
+task for each, in the order of offsets; rows of a digest that many rows share are dealt to several tasks.
 
 Defined results: null texts are empty payloads: 64 zero bytes. Equal texts have equal values in all columns but doc_id.
 Null and repeated ids are carried as they are. An empty table writes no shards.
@@ -32,6 +34,8 @@ from .common import map_arrow, store_of, with_text, work_path, written
 
 WIDTH = 64
 HEADER = 33
+#: Rows of one digest that one task reads contents for, about.
+HOT_ROWS = 20_000
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -101,8 +105,7 @@ def write_shards(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: st
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = store_of(path)
-        shard = f"{TaskContext.get().partitionId():06d}.tar"
-        mine = f"{top}/.{shard}.{uuid.uuid4().hex}"
+        shard = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:16]}.tar"
         seen: dict[bytes, tuple[int, int, str]] = {}
         out = None
         at = 0
@@ -111,7 +114,7 @@ def write_shards(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: st
                 batch = whole.slice(begin, 1024)
                 if out is None:
                     store.create_dir(top, recursive=True)
-                    out = store.open_output_stream(mine)
+                    out = store.open_output_stream(f"{top}/{shard}")
                 rows = []
                 for t in batch.column("text"):
                     raw = t.as_py().encode()
@@ -136,7 +139,6 @@ def write_shards(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: st
         if out is not None:
             out.write(bytes(1024))
             out.close()
-            store.move(mine, f"{top}/{shard}")
 
     rows = map_arrow(with_text(docs, doc_id, text), work, f"doc_id {kind}, n_bytes long, digest string, shard string, offset long, length long, first boolean")
     return written(rows, "media-rows")
@@ -154,6 +156,16 @@ def addressed(rows: DataFrame) -> DataFrame:
     return both.select("doc_id", "n_bytes", "digest", pick("shard"), pick("offset"), pick("length"))
 
 
+def by_shard(rows: DataFrame) -> DataFrame:
+    """Addressed rows, dealt to one task for each shard and sorted by offset; rows of a hot digest go to the tasks that follow."""
+    number = F.substring("shard", 1, 6).cast("int")
+    shards = (rows.agg(F.max(number)).first()[0] or 0) + 1
+    hot = written(rows.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS).select(F.col("digest").alias("hot"), F.ceil(F.col("n") / HOT_ROWS).alias("ways")), "media-hot")
+    dealt = rows.join(hot, F.col("digest") == F.col("hot"), "left")
+    way = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("ways")), F.lit(0))
+    return dealt.withColumn("at", F.pmod(number + way, F.lit(shards)).cast("int")).drop("hot", "ways").repartitionById(shards, F.col("at")).sortWithinPartitions("shard", "offset").drop("at")
+
+
 def unreferenced(rows: DataFrame) -> DataFrame:
     """(digest, shard, offset, length) of members that no row goes by."""
     kept = rows.where("first").select("digest", "shard", "offset", "length")
@@ -208,7 +220,7 @@ def with_content(rows: DataFrame, path: str, *, contents: bool = True) -> DataFr
 def media_columns(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """Writes all payloads and gives one row for each row of docs, with digest, place and the columns read back."""
     path = path or work_path(docs.sparkSession, "media")
-    return with_content(addressed(write_shards(docs, path, doc_id=doc_id, text=text)), path)
+    return with_content(by_shard(addressed(write_shards(docs, path, doc_id=doc_id, text=text))), path)
 
 
 def members(data: bytes) -> list[str]:
