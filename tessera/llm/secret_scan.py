@@ -39,13 +39,15 @@ PREFIXES = "AKIA|ASIA|ghp_|gho_|github_pat_|sk_live_|rk_live_|sk-|xox[abpr]-|eyJ
 SECRET_WORDS = "passwor[dt]|passwd|pwd|passphrase|secret|token|api[_-]?key|apikey|access[_-]?key|auth|bearer|credential|private[_-]?key|signature[_-]?key|client[_-]?secret"
 _JOINED = r"[=:]\s{0,2}(?:(?i:bearer|basic|token)\s{1,2})?[\"'`]?"
 _NAMED = (
-    rf"(?<=[=:\s\"'`])(?<={_JOINED})(?<=(?i:{SECRET_WORDS.replace('auth|', 'auth(?!or(?!i[sz]))|')})[A-Za-z0-9_\-]{{0,40}}[\"'`]?\s{{0,2}}{_JOINED})(?!(?i:bearer|basic|token)\s)"
+    rf"(?<=[=:\"'`]|[=:]\s{{1,2}}|(?:[eE][rR]|[iI][cC]|[eE][nN])\s{{1,2}})(?<={_JOINED})(?<=(?i:{SECRET_WORDS.replace('auth|', 'auth(?!or(?!i[sz]))|')})[A-Za-z0-9_\-]{{0,40}}[\"'`]?\s{{0,2}}{_JOINED})(?!(?i:bearer|basic|token)\s)"
     r"(?:(?<=\")[^\s\"]{6,}|(?<=')[^\s']{6,}|(?<=`)[^\s`]{6,}|(?<![\"'`])(?![\"'`=:])\S{5,}[^\s.,;:)\]}>\"'`])"
 )
 _LOGIN = r"(?<=:)(?<=[A-Za-z][A-Za-z0-9+.\-]{0,15}://[^\s:/@]{0,128}:)[^\s/]+(?=@)"
 _RUN = r"(?=[A-Za-z0-9+/_\-]{16})(?=[A-Za-z+/_\-]*[0-9]|[A-Z]{16}|[A-Z+/_\-]*[a-z][a-z+/_\-]*[A-Z])[A-Za-z0-9+/_\-]{16,}"
 CANDIDATE = rf"(?<![A-Za-z0-9+/_\-])(?:{_LOGIN}|{_NAMED}|{_RUN})"
-SUM_WORDS = "sha-?1|sha-?256|sha-?512|md5|checksum|digest|commit|revision|blob|tree|etag|fingerprint|integrity|uuid|guid|build|hash"
+SUM_WORDS = "sha-?1|sha-?256|sha-?384|sha-?512|md5|checksum|digest|commit|revision|blob|tree|etag|fingerprint|integrity|uuid|guid|build|hash|public|ssh-rsa|ssh-dss|ssh-ed25519|ecdsa-sha2-nistp\\d+|base64"
+#: Beginnings of what is public: named checksums, and keys in the form that servers list.
+PUBLIC = r"(?i:sha(?:1|224|256|384|512)|md5)[-_:]|AAAA[A-Z][0-9][A-Za-z]{2}"
 NUMBER_WORDS = "isbn|iban|card|phone|tel|order|invoice|account|doi|serial|tracking|version|issn|ean"
 PLACE_PATHS = "test|example|sample|fixture|mock|doc|demo"
 DICTIONARY = (
@@ -81,6 +83,7 @@ _CONTEXTS = {
         ("id %s", "uuid"), ("see %s for", "path"), ("open %s", "path"), ("the %s of", "words"), ("with %s and", "words"), ("token = your-%s", "words"), ("password=%s", "filler"), ("secret: %s", "filler"),
         ("version %s", "version"), ("on %s at", "date"), ("invoice %s", "digits18"), ("tree %s", "hex40"), ("IN %s!! THE", "capitals"), ("the %s was", "capitals"), ("blob %s", "hex64"), ("image %s", "words"), ("isbn %s", "digits16"),
         ("password: %s", "word"), ("token: %s", "word"), ("secret=%s", "word"), ('"auth": "%s"', "word"), ("password=%s", "variable"), ("token: %s", "variable"), ("password = %s", "call"), ("api_key=%s", "call"), ("password: %s", "stars"), ("secret: %s of", "prose"),
+        ('integrity="%s"', "integrity"), ('"integrity": "%s",', "integrity"), ("ssh-rsa %s user@host", "sshkey"), ("ssh-ed25519 %s me@box", "sshkey"), ("data:image/png;base64,%s", "mix48"), ("main.%s.js", "hex20"), ("public key %s of", "mix40"), ("etag: %s", "hex32"), ("docker@sha256:%s", "hex64"),
         ("the token: %s was", "prose"), ("password: %s", "twowords"), ("call %s for", "camel"), ("the %s of", "camel"), ("token = %s", "camel"), ("amqp://user:%s@host", "variable"), ("see %s in", "camel"), ("new %s and", "camel"),
     ],
 }
@@ -100,7 +103,7 @@ def _maker(kind: str, i: str) -> str:
     sign = lambda salt: f"element_at(array('$', '!', '#', '&', '%', '*', '@x', '^', '?', '.', '~', '('), cast(pmod(hash({i}, '{salt}'), 12) as int) + 1)"
     letters = f"translate(substring({hexes}, 1, 40), '0123456789abcdef', 'THERINGSTOANDLYE')"
     return {
-        "hex18": f"substring({hexes}, 1, 18)", "hex32": f"substring({hexes}, 1, 32)", "hex40": f"substring({hexes}, 1, 40)", "hex64": hexes,
+        "hex18": f"substring({hexes}, 1, 18)", "hex20": f"substring({hexes}, 1, 20)", "integrity": f"concat(element_at(array('sha512-', 'sha384-', 'sha256-'), cast(pmod(hash({i}, 'a'), 3) as int) + 1), {mixed}, {mixed})", "sshkey": f"concat(element_at(array('AAAAB3NzaC1yc2EAAAADAQABAAABAQ', 'AAAAC3NzaC1lZDI1NTE5AAAAI', 'AAAAE2VjZHNhLXNoYTItbmlzdHA'), cast(pmod(hash({i}, 'a'), 3) as int) + 1), {mixed})", "hex32": f"substring({hexes}, 1, 32)", "hex40": f"substring({hexes}, 1, 40)", "hex64": hexes,
         "mix16": f"substring({mixed}, 1, 16)", "mix20": f"substring({mixed}, 1, 20)", "mix24": f"substring({mixed}, 1, 24)", "mix36": f"substring({mixed}, 1, 36)", "mix40": f"substring({mixed}, 1, 40)", "mix48": f"substring({mixed}, 1, 48)",
         "aws": f"concat('AKIA', translate(upper(substring(translate({mixed}, '+/018', 'qwert'), 1, 16)), '9', '7'))",
         "gh": f"concat('ghp_', substring(translate({mixed}, '+/', 'ab'), 1, 36))", "stripe": f"concat('sk_live_', substring(translate({mixed}, '+/', 'ab'), 1, 24))", "slack": f"concat('xoxb-', substring(conv(substring({hexes}, 1, 12), 16, 10), 1, 12), '-', substring(translate({mixed}, '+/', 'ab'), 1, 24))",
@@ -121,10 +124,10 @@ def _maker(kind: str, i: str) -> str:
     }[kind]
 
 
-def findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
+def findings(spark: SparkSession, rows: int = FINDINGS, contexts_: dict | None = None) -> DataFrame:
     """Labelled findings: (text, path, label), as many of each label, each text with one candidate."""
     parts = []
-    for label, contexts in _CONTEXTS.items():
+    for label, contexts in (contexts_ or _CONTEXTS).items():
         for n, (around, kind) in enumerate(contexts):
             before, _, after = (x.replace("'", r"\'") for x in around.partition("%s"))
             each = -(-rows // (2 * len(contexts)))
@@ -138,24 +141,48 @@ def findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
     return out
 
 
-FEATURES = ("length", "changes", "digits", "hexes", "distinct", "covered", "prefix", "slashes", "test_path", "secret_word", "sum_word", "number_word", "assigned", "quoted", "capitals", "signs", "joined", "login")
+FEATURES = ("length", "changes", "digits", "hexes", "distinct", "covered", "prefix", "slashes", "test_path", "secret_word", "sum_word", "number_word", "assigned", "quoted", "capitals", "signs", "joined", "login", "public")
+
+
+#: Candidates whose lengths are summed together on the way to the places of those behind them.
+_STEP = 64
+
+
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once: what a lambda refers to would be computed for each element."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _sum(items: Column) -> Column:
+    return F.aggregate(items, F.lit(0), lambda a, x: a + x)
+
+
+def _before_each(lengths: Column) -> Column:
+    """The sum of what stands before each length: sums of steps first, then within a step, so that long arrays take no square of their size."""
+    steps = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _STEP).cast("int")), lambda n: _sum(F.slice(lengths, n * _STEP + 1, F.lit(_STEP))))
+
+    def within(sums: Column) -> Column:
+        upto = F.transform(sums, lambda _, n: _sum(F.slice(sums, F.lit(1), n)))
+        return _let(upto, lambda u: F.transform(lengths, lambda _, i: u[F.floor(i / _STEP).cast("int")] + _sum(F.slice(lengths, (i - i % _STEP + 1).cast("int"), (i % _STEP).cast("int")))))
+
+    return _let(steps, within)
 
 
 def candidates(text: Column) -> Column:
     """array<struct<value, start, before, after>>: start counts characters from 0; before and after are the text around, cut short."""
     found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    between = F.split(text, CANDIDATE, -1)
-    pieces = F.arrays_zip(found.alias("value"), between.alias("left"), F.slice(between, 2, F.size(between)).alias("right"))
-    placed = F.aggregate(
-        F.filter(pieces, lambda p: p["value"].isNotNull()),
-        F.struct(F.lit(0).cast("int").alias("at"), F.array().cast("array<struct<value:string,start:int,before:string,after:string>>").alias("out")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["left"]) + F.length(p["value"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(p["value"].alias("value"), (acc["at"] + F.length(p["left"])).alias("start"), F.right(p["left"], F.lit(48)).alias("before"), F.left(p["right"], F.lit(24)).alias("after")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(text.rlike(CANDIDATE), placed)
+
+    def placed(between: Column) -> Column:
+        pieces = F.filter(F.arrays_zip(found.alias("value"), between.alias("left"), F.slice(between, 2, F.size(between)).alias("right")), lambda p: p["value"].isNotNull())
+
+        def with_places(ps: Column) -> Column:
+            lengths = F.transform(ps, lambda p: F.length(p["left"]) + F.length(p["value"]))
+            at = _let(lengths, _before_each)
+            return F.zip_with(ps, at, lambda p, n: F.struct(p["value"].alias("value"), (n + F.length(p["left"])).alias("start"), F.right(p["left"], F.lit(48)).alias("before"), F.left(p["right"], F.lit(24)).alias("after")))
+
+        return _let(pieces, with_places)
+
+    return F.when(text.rlike(CANDIDATE), _let(F.split(text, CANDIDATE, -1), placed))
 
 
 def features(c: Column, path: Column) -> Column:
@@ -186,6 +213,7 @@ def features(c: Column, path: Column) -> Column:
         gone(r"[^A-Za-z0-9+/_\-]").alias("signs"),
         one(before.rlike(r"[=:][\"'`]?$")).alias("joined"),
         one(before.rlike(r"://[^\s:/@]*:$") & after.rlike("^@")).alias("login"),
+        one(v.rlike(f"^(?:{PUBLIC})")).alias("public"),
     )
 
 
@@ -268,8 +296,11 @@ def train(spark: SparkSession, rows: int = FINDINGS) -> list[Node]:
 
 
 def scan(docs: DataFrame, forest: list[Node], *, text: str = "text", path: str | None = None, column: str = "findings") -> DataFrame:
-    """docs with array<struct<value, start, score, secret>>, empty where nothing was found."""
-    (c,) = fresh(docs, "candidates_")
+    """docs and, as the last column, array<struct<value, start, score, secret>>, empty where nothing was found.
+
+    Its name has underscores put before it where docs has a column of that name.
+    """
+    c, column = fresh(docs, "candidates_", column)
     where = F.col(path) if path else F.lit("")
     found = docs.withColumn(c, candidates(F.col(text)))
     seen = F.transform(F.col(c), lambda x: F.struct(x["value"].alias("value"), x["start"].alias("start"), features(x, where).alias("f")))
@@ -280,19 +311,15 @@ def scan(docs: DataFrame, forest: list[Node], *, text: str = "text", path: str |
 
 
 def redacted(text: Column, found: Column) -> Column:
-    """The text with a mask for each secret among its findings, which come in the order of their places."""
-    secrets = F.filter(found, lambda x: x["secret"])
-    put = F.aggregate(
-        secrets,
-        F.struct(F.lit(0).cast("int").alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda acc, x: F.struct((x["start"] + F.length(x["value"])).alias("at"), F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(MASK))).alias("out")),
-        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))),
-    )
-    return F.when(F.size(secrets) > 0, put).otherwise(text)
+    """The text with a mask for each secret among its findings, which are all that scan found, in the order of their places."""
+    shown = F.transform(found, lambda x: F.when(x["secret"], F.lit(MASK)).otherwise(x["value"]))
+    put = F.array_join(F.zip_with(F.split(text, CANDIDATE, -1), shown, lambda left, x: F.concat(left, F.coalesce(x, F.lit("")))), "")
+    return F.when(F.exists(found, lambda x: x["secret"]), put).otherwise(text)
 
 
-def findings_of(scanned: DataFrame, *, doc_id: str = "doc_id", column: str = "findings") -> DataFrame:
-    """One row for each candidate: doc_id, start, length, score, secret, and a digest in place of the value."""
+def findings_of(scanned: DataFrame, *, doc_id: str = "doc_id", column: str | None = None) -> DataFrame:
+    """One row for each candidate of the column, the last by default: doc_id, start, length, score, secret, and a digest in place of the value."""
+    column = column or scanned.columns[-1]
     (x,) = fresh(scanned, "finding_")
     rows = scanned.select(F.col(doc_id).alias("doc_id"), F.explode(column).alias(x))
     v = F.col(f"{x}.value")
