@@ -6,8 +6,8 @@ sentence on and up to each sentence (a sentence that long by itself is a run too
 twice that many words that repeats is covered whole, wherever it stands in the texts around it, if it begins and ends
 with a sentence; the text left and right of it stays.
 
-Sentences end at . ! ? with white space behind, at line breaks, and where a capital letter follows a small letter or a
-comma and one space, so that a passage set into the middle of a sentence still starts a sentence of its own.
+Sentences end at . ! ? with white space behind, at line breaks, and wherever a capital letter follows a space, so that a
+passage set into the middle of a sentence still starts a sentence of its own, behind whatever sign it stands.
 
 First is the occurrence with the smallest (id, hash of the text, place); ids that are null come last. Defined results:
 null texts stay null, empty ones empty; a document whose every sentence is covered becomes an empty text. Rows equal in id
@@ -33,10 +33,6 @@ from .common import fresh, map_arrow, text_blocks, written
 
 LEAST_WORDS = 25
 
-_SMALL_TAIL = np.zeros(256, bool)
-_SMALL_TAIL[97:123] = True
-_SMALL_TAIL[[44, 58, 59]] = True
-_SMALL_TAIL[128:192] = True  # last bytes of letters beyond ASCII
 _STOP = np.zeros(256, bool)
 _STOP[[33, 46, 63]] = True
 _SPACE = np.zeros(256, bool)
@@ -57,7 +53,7 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     before = np.zeros(n, np.uint8)
     before[1:] = data[:-1]
     upper = _UPPER[after[1 : n + 1]] | ((after[1 : n + 1] == 0xC3) & (after[2 : n + 2] >= 0x80) & (after[2 : n + 2] <= 0x9E))
-    cut = space & (_STOP[before] | (data == 10) | (_SMALL_TAIL[before] & upper & (data == 32)))
+    cut = space & (_STOP[before] | (data == 10) | (upper & (data == 32)))
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     inside = ~space
