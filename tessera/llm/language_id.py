@@ -10,7 +10,9 @@ A row is rejected (accepted = false) if no trigram of it has a letter, if at lea
 language (mean log-likelihood below the floor seen in fitting), or if the best posterior is under one half. Rows with
 fewer than `LEAST_TRIGRAMS` don't count in the priors.
 
-Defined results: null or empty texts have no evidence and are rejected, with the host's prior as posterior. A null host,
+A host without counted rows has its suffix's prior, and a suffix without any that of the whole corpus.
+
+Defined results: null or empty texts have no evidence and are rejected, with that prior as posterior. A null host,
 suffix or declaration is a value like any other, shared by the rows that have none. A model fitted without any labelled
 row knows no language: every row is accepted, language null. Repeated rows get equal results and
 count each in the sums. Ties between languages go to the first in the alphabet. Rows stay as they are, in any columns.
@@ -34,7 +36,7 @@ JUDGED_TRIGRAMS = 50
 SAMPLE = 400
 #: Pseudo-rows that a level of the hierarchy takes from the level above it.
 STRENGTH = 20.0
-#: Rows of the table of hosts up to which it is broadcast; beyond it, host priors are joined by shuffle.
+#: Rows of the tables of hosts, suffixes and declarations up to which each is broadcast; beyond it, they are joined by shuffle.
 BROADCAST_ROWS = 100_000
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -132,8 +134,13 @@ def _share(total: Column, n: Column, above: Column) -> Column:
 @dataclass
 class Priors:
     hosts: DataFrame  # host, suffix, prior
+    suffixes: DataFrame  # suffix, prior
+    overall: list[float]
     declared: DataFrame  # declared, weight (log)
-    small: bool
+
+
+def _if_small(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
 def priors(rows: DataFrame, k: int) -> Priors:
@@ -152,12 +159,12 @@ def priors(rows: DataFrame, k: int) -> Priors:
     n = everywhere["n"] if everywhere else 0.0
     shares = [((everywhere["t"][j] if everywhere else 0.0) + 1.0) / (n + k) for j in range(k)]
     overall = F.array(*[F.lit(x) for x in shares])
-    suffixes = level("suffix").select(F.col("suffix").alias("sx"), _share(F.col("t"), F.col("n"), overall).alias("above"))
-    hosts = level("host", "suffix").join(F.broadcast(suffixes), F.col("suffix").eqNullSafe(F.col("sx")))
+    suffixes = written(level("suffix").select("suffix", _share(F.col("t"), F.col("n"), overall).alias("prior")), "suffixes")
+    hosts = level("host", "suffix").join(_if_small(suffixes.select(F.col("suffix").alias("sx"), F.col("prior").alias("above"))), F.col("suffix").eqNullSafe(F.col("sx")))
     hosts = written(hosts.select("host", "suffix", _share(F.col("t"), F.col("n"), F.col("above")).alias("prior")), "hosts")
     of_language = F.array(*[F.lit(float(everywhere["t"][j]) if everywhere else 0.0) for j in range(k)])
     declared = level("declared").select("declared", F.zip_with("t", of_language, lambda t, m: F.log((t + F.lit(0.5)) / (m + F.lit(1.0)))).alias("weight"))
-    return Priors(hosts, written(declared, "declared"), hosts.count() <= BROADCAST_ROWS)
+    return Priors(hosts, suffixes, shares, written(declared, "declared"))
 
 
 def address_suffix(url: Column) -> Column:
@@ -177,31 +184,39 @@ def visible_text(html: Column) -> Column:
 
 
 def identify(docs: DataFrame, model: TextModel, *, text: Column | None = None, host: Column | None = None, suffix: Column | None = None, declared: Column | None = None) -> DataFrame:
-    """docs with __language, __posterior (of that language), __text_language and __accepted behind its own columns.
+    """docs and, as the last four columns, __language, __posterior (of that language), __text_language and __accepted; with more
+    underscores where docs has columns of these names.
 
     Reads the texts twice, for the corpus's priors and for the rows, and shuffles none: the priors of hosts are broadcast up
     to BROADCAST_ROWS hosts, and joined by shuffle (of the rows, with AQE's skew handling) beyond it.
     """
     spark, k = docs.sparkSession, len(model.languages)
     null = F.lit(None).cast("string")
+    names_out = fresh(docs, "__language", "__posterior", "__text_language", "__accepted")
     if not k:
-        return docs.select("*", null.alias("__language"), F.lit(None).cast("double").alias("__posterior"), null.alias("__text_language"), F.lit(True).alias("__accepted"))
+        return docs.select("*", *(c.alias(n) for c, n in zip((null, F.lit(None).cast("double"), null, F.lit(True)), names_out, strict=True)))
     evidence = text_evidence(model, spark)
-    ev, h, s, d, hh, ss, dd = fresh(docs, "ev_", "host_", "suffix_", "declared_", "hh_", "ss_", "dd_")
+    ev, h, s, d, hh, ss, dd, prior, wide, weight, ws, logs_, best = fresh(docs, "ev_", "host_", "suffix_", "declared_", "hh_", "ss_", "dd_", "prior_", "wide_", "weight_", "ws_", "logs_", "best_")
     own = docs.columns
     keyed = docs.select("*", evidence(text if text is not None else F.col("text")).alias(ev), (host if host is not None else null).alias(h), (suffix if suffix is not None else null).alias(s), (declared if declared is not None else null).alias(d))
     rows = written(keyed.select(F.col(h).alias("host"), F.col(s).alias("suffix"), F.col(d).alias("declared"), F.col(ev).alias("ev")), "evidence")
     known = priors(rows, k)
-    hosts = known.hosts.select(F.col("host").alias(hh), F.col("suffix").alias(ss), F.col("prior").alias("prior__"))
-    hosts = F.broadcast(hosts) if known.small else hosts
+    hosts = _if_small(known.hosts.select(F.col("host").alias(hh), F.col("suffix").alias(ss), F.col("prior").alias(prior)))
+    suffixes = _if_small(known.suffixes.select(F.col("suffix").alias(ws), F.col("prior").alias(wide)))
     # declarations are short codes; texts that claim otherwise are cut by markup_language
     both = keyed.join(hosts, F.col(h).eqNullSafe(F.col(hh)) & F.col(s).eqNullSafe(F.col(ss)), "left")
-    both = both.join(known.declared.select(F.col("declared").alias(dd), F.col("weight").alias("weight__")), F.col(d).eqNullSafe(F.col(dd)), "left") if declared is not None else both.withColumn("weight__", F.array(*[F.lit(0.0)] * k))
-    even = F.array(*[F.lit(1.0 / k)] * k)
-    logs = F.zip_with(F.zip_with(F.slice(ev, 1, k), F.coalesce("prior__", even), lambda e, p: e + F.log(p)), F.coalesce("weight__", F.array(*[F.lit(0.0)] * k)), lambda a, w: a + w)
-    both = both.withColumn("logs__", logs).withColumn("best__", F.array_position("logs__", F.array_max("logs__")).cast("int"))
+    both = both.join(suffixes, F.col(s).eqNullSafe(F.col(ws)), "left") if suffix is not None else both.withColumn(wide, F.lit(None).cast("array<double>"))
+    zeros = F.array(*[F.lit(0.0)] * k)
+    if declared is not None:
+        both = both.join(_if_small(known.declared.select(F.col("declared").alias(dd), F.col("weight").alias(weight))), F.col(d).eqNullSafe(F.col(dd)), "left")
+    else:
+        both = both.withColumn(weight, zeros)
+    overall = F.array(*[F.lit(x) for x in known.overall])
+    logs = F.zip_with(F.zip_with(F.slice(ev, 1, k), F.coalesce(prior, wide, overall), lambda e, p: e + F.log(p)), F.coalesce(weight, zeros), lambda a, w: a + w)
+    both = both.withColumn(logs_, logs).withColumn(best, F.array_position(logs_, F.array_max(logs_)).cast("int"))
     names = F.array(*[F.lit(x) for x in model.languages])
-    posterior = F.exp(F.array_max("logs__") - _log_sum(F.col("logs__"), k))
+    posterior = F.exp(F.array_max(logs_) - _log_sum(F.col(logs_), k))
     text_best = F.array_position(F.slice(ev, 1, k), F.array_max(F.slice(ev, 1, k))).cast("int")
     accepted = (F.col(ev)[k] > 0) & ((F.col(ev)[k] < JUDGED_TRIGRAMS) | (F.col(ev)[k + 1] >= model.floor)) & (posterior >= 0.5)
-    return both.select(*own, F.element_at(names, F.col("best__")).alias("__language"), posterior.alias("__posterior"), F.element_at(names, text_best).alias("__text_language"), accepted.alias("__accepted"))
+    found = (F.element_at(names, F.col(best)), posterior, F.element_at(names, text_best), accepted)
+    return both.select(*own, *(c.alias(n) for c, n in zip(found, names_out, strict=True)))
