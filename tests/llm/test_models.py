@@ -2,6 +2,7 @@
 
 import collections
 import re
+import time
 
 import numpy as np
 import pytest
@@ -21,6 +22,22 @@ def test_quality_held_out(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in rows)
 
 
+def test_quality_votes_match_brute_force(spark):
+    docs, labels = spark.read.parquet(f"{BASE}/documents.parquet"), spark.read.parquet(f"{BASE}/labels.parquet")
+    model = quality.fit(docs, labels, sample=50)
+    texts = [r["text"] for r in docs.orderBy("doc_id").limit(40).collect()]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").repartition(3).select("i", quality.score(model, spark, F.col("text")).alias("s")).orderBy("i").select("s").collect()]
+    for text, score in zip(texts, got, strict=True):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        own = model.project(quality.counts(raw, np.array([0, len(raw)])))[0].astype(float)
+        near = sorted(((float(own @ v), n) for n, v in enumerate(model.vectors.astype(float))), key=lambda x: (-x[0], x[1]))[: quality.NEIGHBOURS]
+        weights = {0.0: 0.0, 1.0: 0.0}
+        for cosine, n in near:
+            weights[model.labels[n]] += max(cosine, 0) ** quality.POWER * model.votes[n]
+        prior = 0.02 * model.votes.mean()
+        assert abs((weights[1.0] + prior) / (weights[0.0] + weights[1.0] + 2 * prior) - score) < 1e-4
+
+
 def test_quality_odd_rows(spark, odd_docs, no_docs):
     docs, labels = spark.read.parquet(f"{BASE}/documents.parquet"), spark.read.parquet(f"{BASE}/labels.parquet")
     model = quality.fit(docs, labels, sample=60)
@@ -52,10 +69,47 @@ def test_language_evidence_moves_the_posterior(spark):
     assert [r["__accepted"] for r in language_id.identify(junk, model).collect()] == [False, False]
 
 
+def brute_posteriors(model, rows):
+    """Rows (text, host, suffix, declared): (language, posterior), by sums and loops."""
+    import pyarrow as pa
+
+    k = len(model.languages)
+    ev = model.evidence(pa.array([r[0] for r in rows], pa.string()))
+    p = np.exp(ev[:, :k] - ev[:, :k].max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    known = [n for n in range(len(rows)) if ev[n, k] >= language_id.LEAST_TRIGRAMS]
+    total = lambda keep: sum((p[n] for n in known if keep(rows[n])), np.zeros(k))
+    everywhere = total(lambda r: True)
+    overall = (everywhere + 1) / (everywhere.sum() + k)
+    smooth = lambda t, above: (t + language_id.STRENGTH * above) / (t.sum() + language_id.STRENGTH)
+    out = []
+    for n, (_, host, suffix, declared) in enumerate(rows):
+        wide = smooth(total(lambda r: r[2] == suffix), overall) if any(rows[m][2] == suffix for m in known) else overall
+        prior = smooth(total(lambda r: r[1:3] == (host, suffix)), wide) if any(rows[m][1:3] == (host, suffix) for m in known) else wide
+        said = np.log((total(lambda r: r[3] == declared) + 0.5) / (everywhere + 1)) if any(rows[m][3] == declared for m in known) else 0
+        logs = ev[n, :k] + np.log(prior) + said
+        best = int(logs.argmax())
+        out.append((model.languages[best], 1 / np.exp(logs - logs[best]).sum()))
+    return out
+
+
+def test_language_fusion_matches_brute_force(spark):
+    docs = spark.read.parquet(f"{BASE}/documents.parquet")
+    model = language_id.fit(docs, sample=30)
+    texts = docs.orderBy("doc_id").limit(60).collect()
+    rows = [(r["text"], f"h{n % 7}", f"s{n % 3}", r["lang"] if n % 2 else None) for n, r in enumerate(texts)]
+    rows += [("ab", "small", "s1", None), ("", "h1", "s1", "de"), (None, "h2", "s9", None), ("cd", "other", "s8", "xx"), ("ef", None, None, None)]
+    df = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "n int, text string, host string, suffix string, declared string").repartition(3)
+    got = language_id.identify(df, model, host=F.col("host"), suffix=F.col("suffix"), declared=F.col("declared")).orderBy("n").collect()
+    for r, (language, posterior) in zip(got, brute_posteriors(model, rows), strict=True):
+        assert r["__language"] == language and abs(r["__posterior"] - posterior) < 1e-9
+
+
 def test_language_odd_rows(spark, odd_docs, no_docs):
     model = language_id.fit(odd_docs)
     out = language_id.identify(odd_docs, model, host=F.col("source"))
     assert out.columns[: len(odd_docs.columns)] == odd_docs.columns and out.count() == odd_docs.count()
+    assert out.columns[-4:] == ["___language", "__posterior", "__text_language", "__accepted"] and {r["__language"] for r in out.collect()} == {"__language"}
     assert {r["doc_id"] for r in out.where("not __accepted").collect()} >= {3, 4, 5}
     blank = language_id.fit(no_docs)
     assert language_id.identify(no_docs, model, host=F.col("source")).count() == 0
@@ -119,14 +173,45 @@ def test_secrets_findings_all_have_a_candidate(spark):
 
 
 def test_secrets_odd_rows(spark, forest, odd_docs, no_docs):
-    out = secret_scan.scan(odd_docs, forest, path="source").withColumn("clean", secret_scan.redacted(F.col("text"), F.col("findings")))
-    assert all(r["clean"] == r["text"] and r["findings"] == [] for r in out.collect())
+    out = secret_scan.scan(odd_docs, forest, path="source")
+    assert out.columns == [*odd_docs.columns, "_findings"]
+    out = out.withColumn("clean", secret_scan.redacted(F.col("text"), F.col("_findings")))
+    assert all(r["clean"] == r["text"] and r["_findings"] == [] and r["findings"] == "findings" for r in out.collect())
     assert secret_scan.scan(no_docs, forest).count() == 0
     many = spark.createDataFrame([("password=0f44d48ffab2b14b64 " * 400,)], "text string")
     assert len(secret_scan.scan(many, forest).first()["findings"]) == 400
+    start = time.monotonic()
+    text = "".join(f"password=Sup3rS3cret{i}! and {i:040x} " for i in range(4000))
+    row = secret_scan.scan(spark.createDataFrame([(text,)], "text string"), forest).withColumn("clean", secret_scan.redacted(F.col("text"), F.col("findings"))).first()
+    assert len(row["findings"]) == 8000 and all(text[f["start"] : f["start"] + len(f["value"])] == f["value"] for f in row["findings"])
+    assert "Sup3rS3cret" not in row["clean"] and row["clean"].count(secret_scan.MASK) == sum(f["secret"] for f in row["findings"])
+    assert time.monotonic() - start < 20
     assert secret_scan.findings_of(secret_scan.scan(no_docs, forest)).columns == ["doc_id", "start", "length", "value_sha256", "score", "secret"]
 
 
+def test_secrets_of_templates_that_training_has_not_seen(spark):
+    """Every third context is held out of the findings, so the forest meets it for the first time."""
+    own = {label: [c for n, c in enumerate(cs) if n % 3 != 1] for label, cs in secret_scan._CONTEXTS.items()}
+    other = {label: [c for n, c in enumerate(cs) if n % 3 == 1] for label, cs in secret_scan._CONTEXTS.items()}
+
+    def table(contexts, rows):
+        made = secret_scan.findings(spark, rows, contexts).withColumn("c", F.element_at(secret_scan.candidates(F.col("text")), 1)).where("c is not null")
+        got = made.select("label", secret_scan.features(F.col("c"), F.col("path")).alias("f")).collect()
+        return np.array([[r["f"][n] for n in secret_scan.FEATURES] for r in got], float), np.array([r["label"] for r in got], float)
+
+    forest = secret_scan.grow_forest(*table(own, 4000))
+    x, y = table(other, 1500)
+    said = np.array([np.mean([secret_scan.tree_score(t, r) for t in forest]) >= secret_scan.THRESHOLD for r in x])
+    assert (said == y).mean() > 0.85
+
+
+def test_public_things_are_no_secrets(spark, forest):
+    b64 = "Qk1hZGVVcEJ5SGFuZEZvclRoaXNUZXN0T25seTEyMzQ1Njc4OTBhYmNkZWZnaA"
+    rows = [(f"ssh-rsa AAAAB3NzaC1yc2EAAAADAQABAAABAQ{b64} root@box",), (f'<script integrity="sha512-{b64}{b64[:24]}"></script>',), ("image: app@sha256:" + "0f1e2d3c4b5a6978" * 4,), ("commit 9fceb02d0ae598e95dc970b74767f19372d61af8 was",)]
+    out = secret_scan.scan(spark.createDataFrame(rows, "text string"), forest).collect()
+    assert [[f["value"] for f in r["findings"] if f["secret"]] for r in out] == [[], [], [], []]
+
+
 def test_secret_scan_plan_is_native(spark, forest):
     plan = secret_scan.scan(spark.read.parquet(f"{BASE}/documents.parquet"), forest, path="source")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
@@ -160,6 +245,34 @@ def test_ann_recall(spark):
     assert hit / total >= 0.9
 
 
+@pytest.mark.parametrize(("axes", "probes"), [(1, None), (2, None), (2, 10**9)])
+def test_ann_axes_against_brute_force(spark, monkeypatch, axes, probes):
+    """Buckets of one axis and of two, with parts of rows and of queries."""
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((12, 12)) * 2
+    x = np.float32(centres[rng.integers(0, 12, 900)] + rng.standard_normal((900, 12)) * (0.5 + rng.random((900, 1))))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    monkeypatch.setattr(ann, "PART_ROWS", 40)
+    got = collections.defaultdict(list)
+    for r in ann.nearest(df, F.col("vec_id") % 5 == 0, k=10, axes=axes, probes=probes).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    ids, wide = np.arange(900), x.astype(float)
+    want = {q: brute_nearest(ids, wide, q, 10) for q in range(0, 900, 5)}
+    assert set(got) == set(want) and all(len(v) == 10 for v in got.values())
+    hit = sum(len({i for i, _ in want[q]} & {i for i, _ in got[q]}) for q in want) / (10 * len(want))
+    assert hit >= (0.9 if probes is None else 1.0)
+
+
+def test_ann_short_results_are_searched_exactly(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((120, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, k=60, tables=1, probes=1).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert all(got[q] == [i for i, _ in brute_nearest(np.arange(120), x, q, 60)] for q in range(0, 120, 20))
+
+
 def test_ann_odd_rows(spark):
     rng = np.random.default_rng(2)
     hot = rng.standard_normal(5).tolist()
