@@ -25,7 +25,8 @@ def _retexted(docs: DataFrame, before: DataFrame) -> DataFrame:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in a language that the model knows; the others go."""
     model = language_id.fit(docs)
-    return language_id.identify(docs, model, host=F.col("source")).where("__accepted").select(*docs.columns)
+    found = language_id.identify(docs, model, host=F.col("source"))
+    return found.where(F.col(found.columns[-1])).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +41,8 @@ def cut_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with a mask for each secret."""
-    scanned = secret_scan.scan(docs, secret_scan.train(spark), path="source", column="findings__")
-    return _retexted(scanned.withColumn("text", secret_scan.redacted(F.col("text"), F.col("findings__"))), docs)
+    scanned = secret_scan.scan(docs, secret_scan.train(spark), path="source")
+    return _retexted(scanned.withColumn("text", secret_scan.redacted(F.col("text"), F.col(scanned.columns[-1]))), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
