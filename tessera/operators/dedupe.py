@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# Columns that differ from run to run.
+VOLATILE = ("ingested_at", "run_id", "record_hash", "quality", "_method", "ingestion_method")
+
+
 def record_hash(columns: list[str]) -> Column:
-    """sha256 of the columns as JSON, in the order of their names; nulls are left out."""
-    return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
+    """sha256 of the columns as compact JSON, in the order of their names; those that change with the run, or begin with _, are left out."""
+    stable = sorted(c for c in columns if c not in VOLATILE and not c.startswith("_"))
+    return F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in stable]), {"ignoreNullFields": "false"}), 256)
 
 
 def split_three(rows: DataFrame, key: list[str], hash_: str, order: list[Column | str]) -> DataFrame:

@@ -1,3 +1,3 @@
 """Operators bound to tables, by name."""
 
-from tessera.plans import governance, prices, texts  # noqa: F401
+from tessera.plans import governance, lake, prices, texts  # noqa: F401
