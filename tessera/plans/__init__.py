@@ -1,3 +1,3 @@
 """Operators bound to tables, by name."""
 
-from tessera.plans import answers, governance, lake, prices, texts  # noqa: F401
+from tessera.plans import answers, governance, lake, prices, rules, texts  # noqa: F401
