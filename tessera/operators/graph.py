@@ -86,11 +86,36 @@ def _quoted(x: Column) -> Column:
     return F.concat(F.lit("'"), F.replace(F.replace(F.coalesce(x, F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("'"))
 
 
+def _label(kind: Column) -> Column:
+    """A node label: letters, digits and _, the first one a capital and the others small; Node if nothing is left."""
+    plain = F.trim(F.regexp_replace(kind, "[^A-Za-z0-9]+", "_"), F.lit("_"))
+    return F.when(plain == "", "Node").otherwise(F.concat(F.upper(F.left(plain, F.lit(1))), F.lower(F.substring(plain, F.lit(2), F.length(plain)))))
+
+
+def _relation(kind: Column) -> Column:
+    plain = F.regexp_replace(kind, "[^A-Za-z0-9]+", "_")
+    return F.when(plain == "", "RELATED").when(plain.rlike("^[0-9]"), F.concat(F.lit("r_"), plain)).otherwise(plain)
+
+
+def _merges(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Statements (s) that merge nodes, and that merge edges between them. An edge needs both its ends."""
+    name = F.coalesce(F.nullif("label", F.lit("")), "id")
+    made = nodes.select(F.format_string("MERGE (n:%s {id: %s}) SET n.name = %s", _label(F.col("type")), _quoted(F.col("id")), _quoted(name)).alias("s"))
+    types = nodes.select("id", _label(F.col("type")).alias("t"))
+    tied = edges.join(types.select(F.col("id").alias("source"), F.col("t").alias("a")), "source").join(types.select(F.col("id").alias("target"), F.col("t").alias("b")), "target")
+    return made, tied.select(F.format_string("MATCH (a:%s {id: %s}), (b:%s {id: %s}) MERGE (a)-[r:%s]->(b)", "a", _quoted(F.col("source")), "b", _quoted(F.col("target")), _relation(F.col("type"))).alias("s"))
+
+
 def cypher(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(n, statement): constraints, nodes and edges as Cypher text; n puts constraints before nodes before edges."""
-    constraints = nodes.select("type").distinct().select(F.lit(0).alias("n"), F.format_string("CREATE CONSTRAINT IF NOT EXISTS FOR (n:%s) REQUIRE n.id IS UNIQUE;", "type").alias("statement"))
-    made = nodes.select(F.lit(1).alias("n"), F.format_string("MERGE (n:%s {id: %s}) SET n.label = %s;", "type", _quoted(F.col("id")), _quoted(F.col("label"))).alias("statement"))
-    types = nodes.select("id", F.col("type").alias("t"))
-    tied = edges.join(types.select(F.col("id").alias("source"), F.col("t").alias("a")), "source").join(types.select(F.col("id").alias("target"), F.col("t").alias("b")), "target")
-    links = tied.select(F.lit(2).alias("n"), F.format_string("MATCH (a:%s {id: %s}), (b:%s {id: %s}) MERGE (a)-[:%s]->(b);", "a", _quoted(F.col("source")), "b", _quoted(F.col("target")), "type").alias("statement"))
-    return constraints.union(made).union(links)
+    made, tied = _merges(nodes, edges)
+    constraints = nodes.select("type").distinct().select(F.lit(0).alias("n"), F.format_string("CREATE CONSTRAINT node_id_%s IF NOT EXISTS FOR (n:%s) REQUIRE n.id IS UNIQUE;", "type", _label(F.col("type"))).alias("statement"))
+    ended = lambda rows, n: rows.select(F.lit(n).alias("n"), F.concat("s", F.lit(";")).alias("statement"))
+    return constraints.union(ended(made, 1)).union(ended(tied, 2))
+
+
+def age_sql(nodes: DataFrame, edges: DataFrame, graph: str) -> DataFrame:
+    """(n, statement): the same merges as SQL for a graph extension that takes Cypher in a function; nodes before edges."""
+    made, tied = _merges(nodes, edges)
+    call = lambda rows, n: rows.select(F.lit(n).alias("n"), F.concat(F.lit(f"SELECT * FROM cypher('{graph}', $$ "), "s", F.lit(" $$) AS (a agtype);")).alias("statement"))
+    return call(made, 1).union(call(tied, 2))

@@ -337,12 +337,21 @@ def graph_paths_sql(spark, d):
     return spark.sql("with recursive walk(start, id, depth) as (select source, target, 1 from tessera_edges union all select start, target, depth + 1 from walk join tessera_edges on source = id where depth < 3) select distinct start, id from walk")
 
 
-@query("graph_cypher", f"""with {GRAPH} select distinct 0 n, 'CREATE CONSTRAINT IF NOT EXISTS FOR (n:' || type || ') REQUIRE n.id IS UNIQUE;' as statement from nodes union all select 1, 'MERGE (n:' || type || ' {{id: ''' || id || '''}}) SET n.label = ''' || label || ''';' from nodes
-union all select 2, 'MATCH (a:' || a.type || ' {{id: ''' || source || '''}}), (b:' || b.type || ' {{id: ''' || target || '''}}) MERGE (a)-[:' || e.type || ']->(b);' from edges e join nodes a on a.id = source join nodes b on b.id = target""")
+MERGES = """upper(left({0}.type, 1)) || lower({0}.type[2:])"""
+MERGED = f"""merged as (select 1 n, 'MERGE (n:' || {MERGES.format('nodes')} || ' {{id: ''' || id || '''}}) SET n.name = ''' || label || '''' s from nodes
+union all select 2, 'MATCH (a:' || {MERGES.format('a')} || ' {{id: ''' || source || '''}}), (b:' || {MERGES.format('b')} || ' {{id: ''' || target || '''}}) MERGE (a)-[r:' || e.type || ']->(b)' from edges e join nodes a on a.id = source join nodes b on b.id = target)"""
+
+
+@query("graph_cypher", f"with {GRAPH}, {MERGED} select distinct 0 n, 'CREATE CONSTRAINT node_id_' || type || ' IF NOT EXISTS FOR (n:' || {MERGES.format('nodes')} || ') REQUIRE n.id IS UNIQUE;' as statement from nodes union all select n, s || ';' from merged")
 def graph_cypher(spark, d):
     return graph.cypher(*_graph(spark, d))
 
 
+@query("graph_age_sql", f"with {GRAPH}, {MERGED} select n, 'SELECT * FROM cypher(''g'', $$ ' || s || ' $$) AS (a agtype);' as statement from merged")
+def graph_age_sql(spark, d):
+    return graph.age_sql(*_graph(spark, d), "g")
+
+
 DIAGNOSES = f"""with c as (select item_id, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9 ]+', ' ', 'g'), ' '), lambda t: len(t) >= 3 and t not in ({SYMPTOM_STOP})) w from benchmark),
 t as (select distinct item_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) t from c), u as (select t, {stem_sql('t')} s from (select distinct t from t)),
 e as (select doc_id, lang, source, regexp_replace(lower(text), '[^a-z0-9 ]+', ' ', 'g') plain from documents), g as (select distinct doc_id, {stem_sql('w')} s from (select doc_id, unnest(string_split_regex(plain, '[^a-z0-9]+')) w from e) where w <> ''),
