@@ -37,14 +37,14 @@ def silver_market_prices(spark, d):
     return out.select("record_id", "crop", "crop_canonical", "state_code", "district_code", "min_price", "modal_price", "price_date", "price_date_raw")
 
 
-@query("silver_questions", """with d as (select conv_id, turn, text, conv_id % 4 k from conversations where turn = 0)
-select 'KCC-' || case when k = 0 then 'XX' else 'NATION_' || k end || '-XX-' || case when k = 1 then '' else '2026-0' || (conv_id % 9 + 1) end || '-' || conv_id query_id, sha256(trim(text)) h, case when k <> 1 then conv_id % 9 + 1 end::int as month, case k when 0 then 'kharif' when 1 then 'whole_year' when 2 then 'rabi' end season, case when k < 2 then 'plants' else 'animals' end category, case when k > 0 then 'S' || k end state_code from d""")
+@query("silver_questions", """with d as (select conv_id, turn, text, conv_id % 4 k from conversations)
+select 'KCC-' || case when k = 0 then 'XX' else 'NATION_' || k end || '-XX-' || case when k = 1 then '' else '2026-0' || (conv_id % 9 + 1) end || '-' || conv_id || '.' || turn query_id, sha256(trim(text)) h, case when k <> 1 then conv_id % 9 + 1 end::int as month, case k when 0 then 'kharif' when 1 then 'whole_year' when 2 then 'rabi' end season, case when k < 2 then 'plants' else 'animals' end category, case when k > 0 then 'S' || k end state_code from d""")
 def silver_questions(spark, d):
     c = F.col("conv_id")
     k = c % 4
-    raw = table(spark, d, "conversations").where("turn = 0").select(
+    raw = table(spark, d, "conversations").select(
         F.when(k > 0, F.concat(F.lit("NATION_"), k)).alias("StateName"), F.col("text").alias("QueryText"), F.lit("").alias("KCCAnswer"), picked(k, ("KHARIF 2026", "whole year", "late rabi", "none")).alias("season"),
-        F.when(k < 2, "AGRICULTURE").otherwise("animals").alias("Sector"), F.when(k != 1, F.concat(F.lit("2026-0"), c % 9 + 1, F.lit("-11T10:00:00"))).alias("CreatedOn"), c.alias("_id"), F.lit(None).cast("string").alias("Crop"),
+        F.when(k < 2, "AGRICULTURE").otherwise("animals").alias("Sector"), F.when(k != 1, F.concat(F.lit("2026-0"), c % 9 + 1, F.lit("-11T10:00:00"))).alias("CreatedOn"), F.concat(c, F.lit("."), "turn").alias("_id"), F.lit(None).cast("string").alias("Crop"),
     )
     n = table(spark, d, "nation").select(F.col("n_name").alias("state"), F.lit("").alias("district"), F.concat(F.lit("S"), "n_nationkey").alias("state_code"), F.lit(None).cast("string").alias("district_code"), F.lit(None).cast("string").alias("agroclimatic_zone"))
     crops = spark.createDataFrame([("x", "X", 1, 1)], "key string, target string, priority int, ord int")

@@ -9,7 +9,7 @@ from tessera.functions import text as T
 from tessera.functions.numbers import half_up
 from tessera.operators import advisory, graph, nlu, quality, retrieval
 from tessera.plans.registry import query
-from tessera.session import table
+from tessera.session import spread, table
 from tessera.sources.shared import if_small, kept
 from tessera.streaming import events as streams
 
@@ -151,7 +151,7 @@ def normalised_names(spark, d):
 @query("stemmed_terms", f"""select stem, count(*) n from (select {stem_sql('t')} stem from (select unnest({tokens_sql('text')}) t from documents)) group by all""")
 def stemmed_terms(spark, d):
     """Terms are counted before they are stemmed: one stemming for each distinct term."""
-    terms = table(spark, d, "documents").select(F.explode(T.tokens(F.col("text"))).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    terms = _texts(spark, d).select(F.explode(T.tokens(F.col("text"))).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
     return terms.groupBy(T.stem(F.col("t")).alias("stem")).agg(F.sum("n").alias("n"))
 
 
@@ -169,8 +169,13 @@ bm as (select item_id, doc_id, score, row_number() over (partition by item_id or
 BM25 = BM25_ALL + ", b as (select * from bm where rank <= 10)"
 
 
+def _texts(spark, d):
+    """(doc_id, text) over all cores."""
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
+
+
 def _bm25(spark, d, k: int | None = 10):
-    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark").withColumnRenamed("text", "q")
+    docs, items = _texts(spark, d), table(spark, d, "benchmark").withColumnRenamed("text", "q")
     return retrieval.bm25(docs, items, id_="doc_id", text="text", query_id="item_id", query_text="q", k=k)
 
 
@@ -200,7 +205,7 @@ dn as (select q.k item_id, x.k doc_id, round(sum(q.w * x.w), 9) score from bench
 select item_id, doc_id, row_number() over (partition by item_id order by score desc, doc_id) as rank, floor(score * 1000000 + 0.5) / 1000000 score from f qualify rank <= 10""")
 def hybrid_search(spark, d):
     """BM25 and hashed vectors, both in full, fused by reciprocal ranks, with labels as authority."""
-    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark").withColumnRenamed("text", "q")
+    docs, items = _texts(spark, d), table(spark, d, "benchmark").withColumnRenamed("text", "q")
     vectors = retrieval.dense(docs, items, id_="doc_id", text="text", query_id="item_id", query_text="q", k=None)
     authority = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").cast("double").alias("authority"))
     return retrieval.fuse([_bm25(spark, d, None), vectors], "item_id", "doc_id", 10, authority).select("item_id", "rank", "doc_id", half_up(F.col("score"), 6).alias("score"))
@@ -208,7 +213,7 @@ def hybrid_search(spark, d):
 
 @query("dense_search", f"with {HYBRID} select item_id, doc_id, rank from dr where rank <= 10")
 def dense_search(spark, d):
-    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark").withColumnRenamed("text", "q")
+    docs, items = _texts(spark, d), table(spark, d, "benchmark").withColumnRenamed("text", "q")
     return retrieval.dense(docs, items, id_="doc_id", text="text", query_id="item_id", query_text="q", k=10).select("item_id", "doc_id", "rank")
 
 
@@ -225,7 +230,7 @@ select avg(case when rank = 1 then 1.0 else 0.0 end) top1, floor(avg(coalesce(1.
 def retrieval_quality(spark, d):
     """How high the first document that holds a passage is ranked. Passages are a set of queries: counted, and broadcast against the texts."""
     items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
-    truth = table(spark, d, "documents").select("doc_id", "text").join(if_small(items, 5_000), F.contains("text", "passage")).groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
+    truth = _texts(spark, d).join(if_small(items, 5_000), F.contains("text", "passage")).groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
     return retrieval.recall_and_mrr(_bm25(spark, d), truth, "item_id", "doc_id").select("top1", half_up(F.col("mrr"), 6).alias("mrr"), "n")
 
 
@@ -279,7 +284,7 @@ select doc_id, lang as label from s qualify row_number() over (partition by doc_
 def naive_bayes(spark, d):
     """The language of each document by its words, trained on all of them."""
     words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda t: F.length(t) > 1)
-    rows = table(spark, d, "documents").select("doc_id", "lang", words.alias("w")).where("size(w) > 0")
+    rows = spread(table(spark, d, "documents").select("doc_id", "lang", "text")).select("doc_id", "lang", words.alias("w")).where("size(w) > 0")
     priors, likelihoods = nlu.train(rows, "lang", "w")
     return nlu.predict(rows, "doc_id", "w", priors, likelihoods).select("doc_id", "label")
 
@@ -364,7 +369,7 @@ def _diagnosed(spark, d, strict: bool):
     """Benchmark passages as symptoms at a stage, documents of each source as entities of a crop with stages."""
     cases = table(spark, d, "benchmark").select("item_id", F.col("text").alias("symptoms"), F.lit("en").alias("crop"), F.lit("flowering").alias("stage"))
     stages = picked(F.col("doc_id"), ("seedling", "seedling|flowering", "harvest"))
-    entities = table(spark, d, "documents").select(F.col("doc_id").alias("entity"), F.when(F.col("source") == "src0", "disease").otherwise("pest").alias("kind"), F.col("lang").alias("crop"), "text", stages.alias("stage"))
+    entities = spread(table(spark, d, "documents").select("doc_id", "source", "lang", "text")).select(F.col("doc_id").alias("entity"), F.when(F.col("source") == "src0", "disease").otherwise("pest").alias("kind"), F.col("lang").alias("crop"), "text", stages.alias("stage"))
     return advisory.diagnose(cases, entities, case_id="item_id", symptoms="symptoms", crop="crop", stage="stage", strict=strict)
 
 

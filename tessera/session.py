@@ -30,3 +30,12 @@ def get_spark(app: str = "tessera", master: str | None = None, **conf: str) -> S
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     """One table of a directory of Parquet tables; any path that Spark's readers can open."""
     return spark.read.parquet(f"{base}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores, if its scan has fewer tasks than there are cores: a file of one row group is one task.
+
+    For work that costs much more than moving a row. Tables of many files or row groups stay as they are read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
