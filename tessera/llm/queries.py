@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import spread
+
 from . import ann, bpe, language_id, media, near_dedup, packing, quality, secret_scan, sharding, substring_dedup
 from .files import tokenizer_file, tokenizer_pattern
 
@@ -16,6 +18,11 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
+def documents(spark: SparkSession, base: str, *columns: str) -> DataFrame:
+    """Documents over all cores, even if they lie in one row group."""
+    return spread(table(spark, base, "documents").select(*columns))
+
+
 def query(f):
     QUERIES[f.__name__] = f
     return f
@@ -23,13 +30,13 @@ def query(f):
 
 @query
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), ranks=tokenizer_file("byte_bpe_50k.tiktoken"), pattern=tokenizer_pattern())
+    pieces = packing.pack(documents(spark, sf_dir, "doc_id", "text"), tokenizer_file("byte_bpe_50k.json"), ranks=tokenizer_file("byte_bpe_50k.tiktoken"), pattern=tokenizer_pattern())
     return packing.crc(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
 
 
 @query
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=2, threshold=0.8)
+    return near_dedup.near_duplicates(documents(spark, sf_dir, "doc_id", "text"), size=2, threshold=0.8)
 
 
 @query
@@ -59,8 +66,8 @@ def language_model(docs: DataFrame) -> language_id.TextModel:
 @query
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents have no address: the source stands for the host."""
-    docs = table(spark, sf_dir, "documents")
-    found = language_id.identify(docs.select("doc_id", "text", "source"), language_model(docs), host=F.col("source"))
+    docs = documents(spark, sf_dir, "doc_id", "text", "source", "lang")
+    found = language_id.identify(docs.drop("lang"), language_model(docs), host=F.col("source"))
     return found.select("doc_id", F.col("__language").alias("language"), F.col("__posterior").alias("posterior"), F.col("__text_language").alias("text_language"), F.col("__accepted").alias("accepted"))
 
 
@@ -74,14 +81,14 @@ def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return substring_dedup.dedup(documents(spark, sf_dir, "doc_id", "text"))
 
 
 @query
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from labelled rows outside the held-out fifth; scores every document."""
     held_out = "crc32(cast(doc_id as string)) % 5 = 0"
-    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    docs, labels = documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels.where(f"not ({held_out})"))
     scored = docs.withColumn("score", quality.score(model, spark, F.col("text")))
     return scored.select("doc_id", F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
@@ -94,18 +101,18 @@ def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = media.media_columns(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = media.media_columns(documents(spark, sf_dir, "doc_id", "text"))
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bits")
 
 
 @query
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file("word_bpe_49k.json"), digests=True)
+    return bpe.round_trip(documents(spark, sf_dir, "doc_id", "text"), tokenizer_file("word_bpe_49k.json"), digests=True)
 
 
 @query
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = documents(spark, sf_dir, "doc_id", "text", "source")
     return secret_scan.findings_of(secret_scan.scan(docs, secret_scan.train(spark), path="source"))
 
 
