@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessera.llm import language_id, near_dedup, packing, secret_scan, substring_dedup
 from tessera.llm.common import written
 from tessera.llm.files import tokenizer_file, tokenizer_pattern
+from tessera.session import spread
 
 
 def _retexted(docs: DataFrame, before: DataFrame) -> DataFrame:
@@ -64,7 +65,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
