@@ -11,6 +11,7 @@ from tessera.operators import contracts, dedupe, gaps, market, percentiles, qual
 from tessera.plans.registry import query
 from tessera.session import table
 from tessera.sources import tables
+from tessera.sources.shared import if_small
 
 
 @query("dedupe_three_way", """with r as (select l_orderkey k, l_linenumber l, l_partkey p, l_suppkey s, l_partkey || '/' || l_suppkey h from lineitem),
@@ -220,13 +221,13 @@ def correlated_counts(spark, d):
     return n.select("n_name", "customers", "suppliers")
 
 
-@query("like_counts", """select b.p_brand, (select count(*) from part p where p.p_name like '%' || lower(b.w) || '%') n from (select distinct p_brand, substr(p_brand, 1, 2) w from part) b""")
+@query("like_counts", """with w as (select distinct unnest(string_split(lower(p_name), ' ')) w from part) select w, (select count(*) from part p where lower(p.p_name) like '%' || w || '%') n from w""")
 def like_counts(spark, d):
-    p = table(spark, d, "part")
-    words = p.select(F.lower(F.substring("p_brand", 1, 2)).alias("w")).distinct()
-    # few distinct patterns meet the names; the count comes back by equality
-    hits = p.select("p_name").join(F.broadcast(words), F.contains("p_name", "w")).groupBy("w").agg(F.count("*").alias("n"))
-    return p.select("p_brand", F.lower(F.substring("p_brand", 1, 2)).alias("w")).distinct().join(hits, "w", "left").select("p_brand", F.coalesce("n", F.lit(0)).alias("n"))
+    """For each word that names have, how many names it is a part of: distinct words meet distinct names, and counts come back by equality."""
+    p = table(spark, d, "part").select(F.lower("p_name").alias("name"))
+    names = p.groupBy("name").agg(F.count("*").alias("c"))
+    words = p.select(F.explode(F.split("name", " ")).alias("w")).distinct()
+    return names.join(if_small(words), F.contains("name", "w")).groupBy("w").agg(F.sum("c").alias("n"))
 
 
 @query("broken_references", """select 'lineitem.part' ref, count(*) n from lineitem where l_partkey not in (select p_partkey from part) union all select 'orders.customer', count(*) from orders where o_custkey not in (select c_custkey from customer)
@@ -261,7 +262,7 @@ def domain_coverage(spark, d):
         one = table(spark, d, name).agg(F.lit(domain).alias("domain"), F.count("*").alias("n"))
         counts = one if counts is None else counts.unionByName(one)
     targets = spark.createDataFrame([("orders", 100000), ("text", 1000), ("talk", 10000)], "domain string, target int")
-    return counts.groupBy("domain").agg(F.sum("n").alias("n")).join(F.broadcast(targets), "domain").withColumn("short", F.col("n") < F.col("target"))
+    return counts.groupBy("domain").agg(F.sum("n").alias("n")).join(if_small(targets), "domain").withColumn("short", F.col("n") < F.col("target"))
 
 
 GAPS = """g as (select 'GAP-' || upper(left(sha256('NO_ORDERS:customer:' || c_custkey), 12)) gap_id, 'NO_ORDERS' kind, 'customer' dimension, c_custkey::varchar as key, 'medium' severity, 0::bigint demand from customer where c_custkey not in (select o_custkey from orders)
