@@ -54,3 +54,8 @@ def refresh(register: DataFrame, gaps: DataFrame, now: Column) -> DataFrame:
         F.when(F.col("demand_").isNotNull(), now).otherwise(F.col("last_seen")).alias("last_seen"),
         F.when(F.col("first_seen").isNull(), "added").when(F.col("demand_").isNotNull(), "refreshed").otherwise("kept").alias("change"),
     )
+
+
+def register(gaps: DataFrame, status: str | None = None) -> DataFrame:
+    """The register, or its gaps of one status, in the order they are worked on."""
+    return in_order(gaps.where(F.col("status") == status) if status else gaps)

@@ -7,6 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources import lake
 from tessera.sources.shared import if_small, kept
 
 
@@ -119,3 +120,12 @@ def age_sql(nodes: DataFrame, edges: DataFrame, graph: str) -> DataFrame:
     made, tied = _merges(nodes, edges)
     call = lambda rows, n: rows.select(F.lit(n).alias("n"), F.concat(F.lit(f"SELECT * FROM cypher('{graph}', $$ "), "s", F.lit(" $$) AS (a agtype);")).alias("statement"))
     return call(made, 1).union(call(tied, 2))
+
+
+def stored(spark, path: str, build) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges from the tables at a path; where they aren't there yet, build() makes them first."""
+    found = lake.readable(spark, f"{path}/nodes"), lake.readable(spark, f"{path}/edges")
+    if None in found:
+        nodes, edges = build()
+        found = lake.replace_folder(nodes, f"{path}/nodes"), lake.replace_folder(edges, f"{path}/edges")
+    return found
