@@ -95,3 +95,17 @@ def test_learned_weights_shrink_by_the_whole_decay(spark):
     for _ in range(3):
         w += 0.2 / (1 + np.exp(w)) - 0.002 * w
     assert abs(rerank.learn(pairs, epochs=3)["similarity"] - w) < 1e-12
+
+
+def test_vision_candidates(spark):
+    from tessera.operators import vision
+
+    flat = lambda *c: bytearray(png(np.full((3, 3, 3), c, np.uint8)))
+    pictures = spark.createDataFrame([(1, flat(120, 80, 40), None, None), (2, flat(120, 80, 40), "T", "tomato"), (3, flat(30, 180, 40), None, None), (4, bytearray(b"x"), None, None)], "id int, data binary, crop_id string, crop string")
+    table = "id string, name string, crop_id string, crop string, symptoms string"
+    entities = vision.ontology(spark.createDataFrame([("d1", "Leaf rust", "W", "wheat", "brown pustules"), ("d2", "Spotting", "T", "tomato", "brownish spots")], table), spark.createDataFrame([("p1", "Mite", None, "tomato; okra", "spots")], table), spark.createDataFrame([("f1", "Zinc", "R", "rice", "white buds")], table))
+    got = {(r["id"], r["entity_id"]): (r["score"], r["rank"], list(r["matched"])) for r in vision.candidates(pictures, entities).collect()}
+    assert got == {(1, "d1"): (4, 1, ["brown", "rust"]), (1, "d2"): (3, 2, ["spots"]), (1, "p1"): (2, 3, ["spots"]), (2, "d2"): (3, 1, ["spots"]), (2, "p1"): (2, 2, ["spots"])}
+    p = spark.createDataFrame([(7, [0.1, 0.6, 0.3])], "id int, p array<double>")
+    labels = spark.createDataFrame([(1, "b", "disease", "B"), (0, "a", "pest", "A")], "n int, entity_id string, kind string, name string")
+    assert [(r["entity_id"], r["score"], r["rank"]) for r in vision.classes(p, labels).orderBy("rank").collect()] == [("b", 60.0, 1), ("a", 10.0, 3)]
