@@ -30,8 +30,9 @@ _KEY, _ROW = ["crop_id", "season_id", "stage_id"], ["month_start", "month_end",
 
 def _last(rows: DataFrame, *by: str, level: Column) -> DataFrame:
     """One row for each of `by` and (crop, season, stage): of the highest level, there the last in order; and its first place."""
-    best = F.max_by(F.struct(*_ROW), F.struct(level, F.col("ord")))
-    return rows.groupBy(*by, *_KEY).agg(best.alias("row"), F.min(F.struct((level > 0).alias("later"), F.col("ord"))).alias("place")).select(*by, *_KEY, "row.*", "place")
+    best = F.max_by(F.struct(*_ROW, "ord"), F.struct(level, F.col("ord")))
+    first = F.col("place") if "place" in rows.columns else F.struct((level > 0).alias("later"), F.col("ord"))
+    return rows.groupBy(*by, *_KEY).agg(best.alias("row"), F.min(first).alias("place")).select(*by, *_KEY, "row.*", "place")
 
 
 def _overriding(requests: DataFrame, overrides: DataFrame, on: list[str]) -> DataFrame:
@@ -50,8 +51,10 @@ def located(requests: DataFrame, calendar: DataFrame, overrides: DataFrame) -> D
     (crop, season, stage) a district's row counts before a state's (without a district) and that before the base's; of
     several at one level the last in order counts. Requests meet both by equality.
     """
-    base = requests.select("id", "crop_id").join(if_small(calendar.select(*_KEY, *_ROW, "ord")), "crop_id").withColumn("level", F.lit(0))
-    return _last(base.unionByName(_overriding(requests, overrides, ["crop_id"])), "id", level=F.col("level"))
+    known = _last(calendar, level=F.lit(0))  # the base is the same for all requests
+    base = requests.select("id", "crop_id").join(if_small(known), "crop_id").withColumn("level", F.lit(0))
+    over = _overriding(requests, overrides, ["crop_id"]).withColumn("place", F.struct(F.lit(True).alias("later"), F.col("ord")))
+    return _last(base.unionByName(over), "id", level=F.col("level"))
 
 
 def crop_plans(requests: DataFrame, calendar: DataFrame, overrides: DataFrame, stages: DataFrame, seasons: DataFrame) -> DataFrame:

@@ -284,7 +284,7 @@ select doc_id, lang as label from s qualify row_number() over (partition by doc_
 def naive_bayes(spark, d):
     """The language of each document by its words, trained on all of them."""
     words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda t: F.length(t) > 1)
-    rows = spread(table(spark, d, "documents").select("doc_id", "lang", "text")).select("doc_id", "lang", words.alias("w")).where("size(w) > 0")
+    rows = kept(spread(table(spark, d, "documents").select("doc_id", "lang", "text")).select("doc_id", "lang", words.alias("w")).where("size(w) > 0"), "words")
     priors, likelihoods = nlu.train(rows, "lang", "w")
     return nlu.predict(rows, "doc_id", "w", priors, likelihoods).select("doc_id", "label")
 
