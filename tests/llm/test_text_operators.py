@@ -183,7 +183,7 @@ def without_repeats(rows, least):
     seen, out = set(), {}
     for i, t in sorted(rows):
         s = sentences(t)
-        n, runs = [len(x.split()) for x in s], set()
+        n, runs = [sum(max(1, len(w.encode()) // substring_dedup.WORD_BYTES) for w in x.split()) for x in s], set()
         for a in range(len(s)):
             ends = [b for b in range(a, len(s)) if sum(n[a : b + 1]) >= least]
             starts = [b for b in range(a, -1, -1) if sum(n[b : a + 1]) >= least]
@@ -226,6 +226,15 @@ def test_substring_dedup_finds_passages_behind_any_sign(spark, before):
     assert before == "NATO" or all(before in got[i] for i in got)  # a word in capitals starts a sentence, so it is repeated too
 
 
+def test_substring_dedup_in_a_language_without_spaces(spark):
+    rng = random.Random(9)
+    line = lambda: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(70))
+    passage = "\n".join(line() for _ in range(3))
+    rows = [(i, f"{line()}\n{passage}\n{line()}") for i in range(3)]
+    got = {r["doc_id"]: r["text"] for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == rows[0][1] and all(not set(passage.split()) & set(got[i].split()) and len(got[i].split()) == 2 for i in (1, 2))
+
+
 def test_substring_dedup_odd_rows(odd_docs, no_docs):
     got = substring_dedup.dedup(odd_docs, least_words=8)
     assert got.columns == [*odd_docs.columns, "removed_spans", "removed_bytes"]
