@@ -62,8 +62,21 @@ def give_back() -> None:
         pass
 
 
+#: Rows of texts that go to a worker at a time.
+BATCH_ROWS = 2_000
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session to batches of BATCH_ROWS, if it has Spark's own default: an executor and a worker hold each batch
+    several times over, and texts are long. A session that says otherwise is left alone."""
+    if spark.conf.get(_BATCH_SETTING, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+
+
 def map_arrow(df: DataFrame, work, shape) -> DataFrame:
-    """mapInArrow whose workers give their memory back when a task ends."""
+    """mapInArrow in small batches, whose workers give their memory back when a task ends."""
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:

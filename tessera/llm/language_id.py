@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, give_back, text_blocks, written
+from .common import fresh, give_back, small_batches, text_blocks, written
 
 BUCKETS = 1 << 16
 LEAST_TRIGRAMS = 8
@@ -110,6 +110,7 @@ def fit(docs: DataFrame, *, sample: int = SAMPLE, doc_id: str = "doc_id", text:
 
 def text_evidence(model: TextModel, spark):
     """The model as a function of a text column, giving array<double>; the model goes out once, as a broadcast of 1 MB at most a language."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("array<double>")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_blocks, words, written
+from .common import small_batches, text_blocks, words, written
 
 #: Labelled rows that a fit may use for each label, the first by hash of their id.
 SAMPLE = 2000
@@ -166,6 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, rank: int =
 
 def score(model: Model, spark, text: Column) -> Column:
     """The score of each text, as a column."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
