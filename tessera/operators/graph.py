@@ -79,6 +79,25 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, most: int = 5) -> DataFr
     return functools.reduce(DataFrame.unionByName, seen).where("depth > 0")
 
 
+def reachable(edges: DataFrame, most: int = 3) -> DataFrame:
+    """(start, id): every pair that a walk of one to so many edges joins, once. What a recursive query gives, in SQL level by level.
+
+    Spark ends a recursive query with an error beyond spark.sql.cteRecursionRowLimit rows, and walks a pair once for each of
+    its walks. Here a level is a table of first visits, so nothing is bounded by rows and cycles end. Null ends are kept as they
+    come; no walk goes on from one.
+    """
+    spark = edges.sparkSession
+    arcs = kept(edges.select(F.col("source").alias("start"), F.col("target").alias("id")).distinct(), "arcs")
+    levels = [arcs]
+    for _ in range(1, most):
+        seen = functools.reduce(DataFrame.union, levels)
+        new = kept(spark.sql("select distinct w.start, a.id from {walk} w join {arcs} a on a.start = w.id left anti join {seen} s on s.start <=> w.start and s.id <=> a.id", walk=levels[-1], arcs=arcs, seen=seen), "level")
+        if new.isEmpty():
+            break
+        levels.append(new)
+    return functools.reduce(DataFrame.union, levels)
+
+
 def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.groupBy("type").agg(F.count("*").alias("n")).withColumn("of", F.lit("node")).unionByName(edges.groupBy("type").agg(F.count("*").alias("n")).withColumn("of", F.lit("edge")))
 

@@ -336,10 +336,8 @@ def graph_paths(spark, d):
 
 @query("graph_paths_sql", f"with {GRAPH} select a.source as start, b.target as id from edges a join edges b on b.source = a.target union select source, target from edges")
 def graph_paths_sql(spark, d):
-    """The same reachability as a recursive query, for graphs of few levels."""
-    _, edges = _graph(spark, d)
-    edges.createOrReplaceTempView("tessera_edges")
-    return spark.sql("with recursive walk(start, id, depth) as (select source, target, 1 from tessera_edges union all select start, target, depth + 1 from walk join tessera_edges on source = id where depth < 3) select distinct start, id from walk")
+    """The same reachability as a recursive query, level by level, without a limit of rows."""
+    return graph.reachable(_graph(spark, d)[1], 3)
 
 
 MERGES = """upper(left({0}.type, 1)) || lower({0}.type[2:])"""

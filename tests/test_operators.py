@@ -107,6 +107,22 @@ def test_paths(spark):
     assert got == {"b": (1, ["a", "b"]), "x": (1, ["a", "x"]), "c": (2, ["a", "b", "c"])}
 
 
+def test_reachable_has_no_row_limit(spark):
+    """In Spark 4.1 a recursive query fails beyond spark.sql.cteRecursionRowLimit rows, a million by default."""
+    from tessera.plans.registry import QUERIES
+
+    pairs = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("c", "a"), (None, "b"), ("e", None), ("a", "b")]
+    edges = spark.createDataFrame([(a, b, "t") for a, b in pairs], "source string, target string, type string")
+    want = {*pairs, ("a", "c"), ("b", "d"), ("c", "e"), ("d", None), ("b", "a"), ("c", "b"), (None, "c"), ("a", "d"), ("a", "a"), ("b", "e"), ("b", "b"), ("c", None), ("c", "c"), (None, "d"), (None, "a")}
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "5")
+    try:
+        got = [tuple(r) for r in graph.reachable(edges, 3).collect()]
+        rows = QUERIES["graph_paths_sql"](spark, "/root/testdata/sf0.001").count()
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+    assert len(got) == len(want) and set(got) == want and rows > 25
+
+
 def test_retrieval(spark):
     docs = spark.createDataFrame([(1, "leaf blight of tomato"), (2, "potato storage"), (3, ""), (4, "tomato tomato leaf")], "id int, text string")
     queries = spark.createDataFrame([(7, "tomato leaf"), (8, "nothing here"), (9, "")], "q int, query string")
