@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from tessera.functions import dates
 from tessera.functions.numbers import half_up
 from tessera.operators import advisory, resolve
-from tessera.sources.shared import if_small
+from tessera.session import spread
+from tessera.sources.shared import if_small, kept
 
 # Stages in which a crop is sown and reaped, and the time of application that a stage belongs to.
 SOWING, REAPING = ("STAGE_SOWING", "STAGE_NURSERY", "STAGE_TRANSPLANTING"), ("STAGE_HARVEST", "STAGE_MATURITY")
@@ -36,10 +37,13 @@ def _last(rows: DataFrame, *by: str, level: Column) -> DataFrame:
 
 
 def _overriding(requests: DataFrame, overrides: DataFrame, on: list[str]) -> DataFrame:
-    """Overrides that hold where a request is: level 1 of its state (without a district), 2 of its district."""
-    columns = [*_KEY, *_ROW, "ord"]
-    around = overrides.where("coalesce(district_code, '') = ''").select("state_code", *columns)
-    there = overrides.where("district_code <> ''").select("district_code", *columns)
+    """Overrides that hold where a request is: level 1 of its state (without a district), 2 of its district.
+
+    Of each state's and district's rows for a stage the last one and its first place are taken before requests meet them.
+    """
+    columns = [*_KEY, *_ROW, "ord", "place"]
+    around = _last(overrides.where("coalesce(district_code, '') = ''"), "state_code", level=F.lit(1))
+    there = _last(overrides.where("district_code <> ''"), "district_code", level=F.lit(2))
     a = requests.select("id", "state_code", *on).join(if_small(around), ["state_code", *on]).select("id", *columns, F.lit(1).alias("level"))
     return a.unionByName(requests.select("id", "district_code", *on).join(if_small(there), ["district_code", *on]).select("id", *columns, F.lit(2).alias("level")))
 
@@ -53,7 +57,7 @@ def located(requests: DataFrame, calendar: DataFrame, overrides: DataFrame) -> D
     """
     known = _last(calendar, level=F.lit(0))  # the base is the same for all requests
     base = requests.select("id", "crop_id").join(if_small(known), "crop_id").withColumn("level", F.lit(0))
-    over = _overriding(requests, overrides, ["crop_id"]).withColumn("place", F.struct(F.lit(True).alias("later"), F.col("ord")))
+    over = _overriding(requests, overrides, ["crop_id"])
     return _last(base.unionByName(over), "id", level=F.col("level"))
 
 
@@ -89,17 +93,24 @@ def crops_to_sow(requests: DataFrame, calendar: DataFrame, overrides: DataFrame,
     """(id, crop_id, crop, season, sow_months): crops with a sowing stage in the month of each request (id, month, state_code, district_code).
 
     Months of the base calendar meet requests by equality; a request's overrides then take the place of the stages that
-    they are about. Of several stages of a crop the first in the calendar's order counts.
+    they are about. Of several stages of a crop the first in the calendar's order counts. What can be sown depends on month and
+    place alone, so it is found once for each of them and then joined to the requests; an id that comes with several counts as
+    one request with all of them, and rows without an id get nothing.
     """
     sowing = lambda rows: rows.where(F.col("stage_id").isin(*SOWING)).withColumn("sow_months", dates.months(F.col("month_start"), F.col("month_end")))
+    where = F.array_sort(F.collect_set(F.struct("month", "state_code", "district_code")))
+    asked = kept(requests.where("id is not null").groupBy(F.col("id").alias("asked")).agg(where.alias("id")), "asked")
+    requests = kept(asked.select("id").distinct().select("id", F.explode("id").alias("x")).select("id", "x.*"), "places")
     base = sowing(_last(calendar, level=F.lit(0))).withColumn("month", F.explode("sow_months"))
     over = sowing(_last(_overriding(requests, overrides, []), "id", level=F.col("level")))
     columns = ["id", *_KEY, "sow_months", "place"]
-    kept = requests.select("id", "month").join(if_small(base), "month").join(over.select("id", *_KEY), ["id", *_KEY], "left_anti").select(*columns)
-    rows = kept.unionByName(over.join(requests.select("id", "month"), "id").where(F.array_contains("sow_months", F.col("month"))).select(*columns))
+    free = requests.select("id", "month").join(if_small(base), "month").join(over.select("id", *_KEY), ["id", *_KEY], "left_anti").select(*columns)
+    rows = free.unionByName(over.join(requests.select("id", "month"), "id").where(F.array_contains("sow_months", F.col("month"))).select(*columns))
     first = rows.groupBy("id", "crop_id").agg(F.min_by(F.struct("season_id", "sow_months"), F.struct("place", "season_id", "stage_id")).alias("f")).select("id", "crop_id", "f.*")
     named = resolve.labelled(first, "crop_id", crops.select("crop_id", F.col("name").alias("crop_name")), "crop_name", "crop")
-    return resolve.labelled(named, "season_id", seasons.select("season_id", F.col("name").alias("season_name")), "season_name", "season").select("id", "crop_id", "crop", "season", "sow_months")
+    named = resolve.labelled(named, "season_id", seasons.select("season_id", F.col("name").alias("season_name")), "season_name", "season")
+    answers = kept(named.select("id", "crop_id", "crop", "season", "sow_months"), "answers")
+    return spread(asked).join(if_small(answers), "id").select(F.col("asked").alias("id"), "crop_id", "crop", "season", "sow_months")
 
 
 def timing_of(stage: Column) -> Column:

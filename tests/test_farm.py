@@ -34,6 +34,27 @@ def test_crops_to_sow(spark):
     assert got == [(1, "Rice", "Kharif", (5, 6)), (2, "Rice", "Kharif", (4,)), (4, "WHEAT", "RABI", (9,))]
 
 
+def test_overrides_of_a_place_meet_requests_as_one_row_a_stage(spark):
+    """8 000 overrides of two stages in one state and district are four rows, by level and stage, for each request."""
+    base, _ = calendar(spark)
+    i = F.col("id")
+    stage = F.when(i % 2 == 0, "STAGE_NURSERY").otherwise("STAGE_SOWING")
+    over = spark.range(8000).select(F.lit("RICE").alias("crop_id"), F.lit("KHARIF").alias("season_id"), stage.alias("stage_id"), (i % 12 + 1).cast("int").alias("month_start"), (i % 12 + 1).cast("int").alias("month_end"), F.lit(None).cast("string").alias("note"), (i + 10).cast("int").alias("ord"), F.lit("S1").alias("state_code"), F.when(i < 4000, "").otherwise("D1").alias("district_code"))
+    asked = spark.range(1200).select(i, (i % 12 + 1).cast("int").alias("month"), F.lit("S1").alias("state_code"), F.lit("D1").alias("district_code"))
+    assert farm._overriding(asked.where("id < 3"), over, []).count() == 3 * 4
+    crops = spark.createDataFrame([("RICE", "Rice")], "crop_id string, name string")
+    got = farm.crops_to_sow(asked, base, over, crops, names(spark)[1]).join(asked, "id").groupBy("month", "crop", "season", "sow_months").agg(F.count("*").alias("n"))
+    assert {(r["month"], r["crop"], r["season"], *r["sow_months"], r["n"]) for r in got.collect()} == {(7, "Rice", "Kharif", 7, 100), (8, "Rice", "Kharif", 8, 100), (11, "WHEAT", "RABI", 11, 100), (12, "Rice", "RABI", 12, 100)}
+
+
+def test_crops_to_sow_of_repeated_and_missing_ids(spark):
+    base, over = calendar(spark)
+    asked = spark.createDataFrame([(1, 6, None, None), (1, 6, None, None), (1, 11, "S1", None), (None, 6, None, None), (2, 6, None, None), (3, None, "S1", "D1")], "id int, month int, state_code string, district_code string")
+    crops = spark.createDataFrame([("RICE", "Rice")], "crop_id string, name string")
+    got = sorted((r["id"], r["crop"], r["season"], tuple(r["sow_months"])) for r in farm.crops_to_sow(asked, base, over, crops, names(spark)[1]).collect())
+    assert got == [(1, "Rice", "Kharif", (6,)), (2, "Rice", "Kharif", (5, 6))]
+
+
 def test_sow_risk_and_timing(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
     window = F.array(F.lit(6), F.lit(7))
