@@ -28,6 +28,7 @@ import re
 import struct
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,9 @@ from .common import map_arrow, opened, text_blocks, with_text, work_path, writte
 LEXICON = 150_000
 #: Words without a place in the lexicon whose merged ids a worker keeps (about 150 bytes each); a full store is emptied.
 MERGED = 100_000
+#: Pieces whose ids a worker keeps from block to block (about 150 bytes each), and signs of such a piece; of a full store those of the block stay.
+PIECES = 300_000
+SHORT = 64
 #: Bytes of text that are coded together, and signs of a part of a longer one.
 BLOCK = 4 << 20
 #: Letters from which a word's pairs are kept in a queue.
@@ -205,13 +209,16 @@ class Vocabulary:
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.tokens = {i: t for t, i in (*self.ids.items(), *self.special.items())}
 
-    def words(self, piece: str) -> list[bytes]:
+    def words(self, piece: str) -> list[str]:
         """The words that the vocabulary's rules find in a plain piece without white space.
 
-        The normal form leaves plain pieces as they are: they have composed Latin letters only.
+        The normal form leaves plain pieces as they are: they have composed Latin letters only. A stop or comma behind letters
+        is a word of its own.
         """
         lower = piece.lower()
-        return [lower.encode()] if lower.isalpha() else [w.encode() for w in self.pattern.findall(lower)]
+        if lower.isalpha():
+            return [lower]
+        return [lower[:-1], lower[-1]] if lower[-1] in ".," and lower[:-1].isalpha() else self.pattern.findall(lower)
 
     def merge(self, word: bytes) -> bytes:
         """Exact merging: the pair of the lowest rank, leftmost first, until no pair is left."""
@@ -269,6 +276,7 @@ class Coder:
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
         self.v, self.lexicon = vocabulary, lexicon
         self.merged: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.full = None
         self.special = re.compile("(" + "|".join(map(re.escape, vocabulary.special)) + ")") if vocabulary.special else None
         self.tokens = [vocabulary.tokens.get(i, "") for i in range(max(vocabulary.tokens) + 1)]
@@ -293,10 +301,11 @@ class Coder:
         return got
 
     def _cut(self, text: str) -> list[str]:
-        """Pieces of a text; special tokens are pieces of their own."""
+        """Pieces of a text; special tokens are pieces of their own. Texts of ASCII alone are lowered first, unless that makes a special token."""
         if self.special and self.special.search(text):
             return [p for n, part in enumerate(self.special.split(text)) for p in ([part] if n % 2 else self._plain_cut(part))]
-        return self._plain_cut(text)
+        lower = text.lower() if text.isascii() else text
+        return self._plain_cut(text if self.special and self.special.search(lower) else lower)
 
     @staticmethod
     def _plain_cut(text: str) -> list[str]:
@@ -305,9 +314,9 @@ class Coder:
     def _table(self, pieces: Iterable[str]) -> dict[str, bytes]:
         """The ids of distinct pieces: their words go through the transducer together."""
         out: dict[str, bytes] = {"": b""}
-        words: dict[bytes, bytes | None] = {}
-        made: list[tuple[str, list[bytes]]] = []
-        special, plain, of = self.v.special, _PLAIN.fullmatch, self.v.words
+        single: dict[str, str] = {}
+        several: dict[str, list[str]] = {}
+        special, plain = self.v.special, _PLAIN.fullmatch
         for p in pieces:
             if not p:
                 continue
@@ -315,28 +324,34 @@ class Coder:
                 out[p] = struct.pack("<I", special[p])
             elif not plain(p):
                 out[p] = self._library(p)
+            elif (lower := p.lower()).isalpha():
+                single[p] = lower
             else:
-                last, word = p[-1], p[:-1]
-                found = [*of(word), last.encode()] if last in ".," and word.isalpha() else of(p)  # a stop or comma behind letters is a word of its own
-                made.append((p, found))
-                words.update(dict.fromkeys(found))
+                several[p] = self.v.words(p)
+        words: dict[str, bytes | None] = dict.fromkeys(single.values())
+        words.update(dict.fromkeys(chain.from_iterable(several.values())))
+        listed = [w.encode() for w in words]
         if self.lexicon and words:
-            listed = list(words)
-            words.update(zip(listed, self.lexicon.get(listed), strict=True))
-        for p, found in made:
-            ids = []
-            for w in found:
-                got = words[w]
-                if got is None:
-                    got = words[w] = self._merge(w)
-                ids.append(got)
-            out[p] = b"".join(ids)
+            words.update(zip(words, self.lexicon.get(listed), strict=True))
+        for (w, ids), word in zip(words.items(), listed, strict=True):
+            if ids is None:
+                words[w] = self._merge(word)
+        out.update(zip(single, map(words.__getitem__, single.values()), strict=True))
+        out.update((p, b"".join(map(words.__getitem__, found))) for p, found in several.items())
         return out
 
     def _block(self, texts: Iterable[str]) -> list[bytes]:
         cut = list(map(self._cut, texts))
-        table = self._table(set().union(*cut))
-        return [b"".join(map(table.__getitem__, c)) for c in cut]
+        known, distinct = self.pieces, set().union(*cut)
+        if len(known) > PIECES:  # what this block has stays
+            known = self.pieces = {p: known[p] for p in distinct.intersection(known)}
+        new = self._table(distinct.difference(known))
+        known.update(new)
+        out = [b"".join(map(known.__getitem__, c)) for c in cut]
+        for p in new:
+            if len(p) > SHORT:
+                del known[p]
+        return out
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text: those of a block at once, longer ones in parts."""
@@ -403,11 +418,12 @@ def word_counts(docs: DataFrame, vocabulary: str, *, text: str = "text") -> Data
                     for w in v.words(piece):
                         words[w] += n
             pieces.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([w.encode() for w in words], pa.binary()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
 
         for batch in batches:
             for t in batch.column("text"):
-                pieces.update(t.as_py().replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
+                t = t.as_py()
+                pieces.update((t.lower() if t.isascii() else t).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
                 if len(pieces) >= COUNTED:
                     yield flush()
         yield flush()

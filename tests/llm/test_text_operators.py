@@ -159,6 +159,26 @@ def test_bpe_parts_of_a_long_text(monkeypatch):
     assert np.frombuffer(ids, "<u4").tolist() == want and c.decode(ids) == library_cached().decode(want, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("text", ["Aİ. x", "İ,", "<|EndOfText|> A", "<|endoftext|><|ENDOFTEXT|> B.", "Hello, WORLD. it'S 'LL,", "a,, b.) c.,"])
+def test_bpe_stops_and_lowered_texts(text):
+    """Stops behind a letter that lowers to two signs, and special tokens in other cases, alone and after one another."""
+    c = bpe.Coder(bpe.Vocabulary(WORDS), None)
+    for t in (text, text.lower(), text):
+        assert np.frombuffer(c.encode(t), "<u4").tolist() == library_cached().encode(t, add_special_tokens=False).ids
+
+
+def test_bpe_pieces_are_coded_once(monkeypatch):
+    """Pieces of earlier blocks aren't looked up again, case apart; a full store keeps those in use, long pieces aren't kept."""
+    monkeypatch.setattr(bpe, "PIECES", 6)
+    c = bpe.Coder(bpe.Vocabulary(WORDS), None)
+    looked, table = [], c._table
+    c._table = lambda pieces: looked.append(set(pieces)) or table(looked[-1])
+    texts = ["one Two three", "ONE two, x", "one four " + "y" * 100, "four five six seven", "one four"]
+    for t in texts:
+        assert np.frombuffer(c.encode(t), "<u4").tolist() == library_cached().encode(t, add_special_tokens=False).ids
+    assert looked == [{"one", "two", "three"}, {"two,", "x"}, {"four", "y" * 100}, {"five", "six", "seven"}, {"one"}]
+
+
 def test_bpe_operator(spark, odd_docs, no_docs, base):
     full = library(WORDS)
     want = collections.Counter((i, tuple(full.encode(t or "", add_special_tokens=False).ids)) for i, t in texts_of(odd_docs))
