@@ -8,7 +8,8 @@ of texts walk through it together, one letter a step. Words that it doesn't hold
 order of the vocabulary's merges.
 
 Texts are cut at spaces, tabs and line breaks, where words always end; what the vocabulary's own rules make of a cut piece
-(normal form, lower case, its pattern) is done once for each distinct piece of a block. Special tokens are
+(normal form, lower case, its pattern) is done once for each distinct piece of a block that the worker doesn't still know from
+earlier ones. Texts of ASCII alone are lowered before they are cut. Special tokens are
 found in the raw text, as the library finds them. Pieces with control characters or letters beyond the Latin ones go to the
 library itself, where two Unicode tables might differ.
 
