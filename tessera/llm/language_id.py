@@ -119,7 +119,8 @@ def text_evidence(model: TextModel, spark):
         give_back()
         return pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * found.shape[1]), pa.array(found.ravel()))
 
-    return evidence
+    # else a filter on what follows from it moves below the joins with a second copy of it: more work, and two workers for each task
+    return evidence.asNondeterministic()
 
 
 def _log_sum(x: Column, k: int) -> Column:

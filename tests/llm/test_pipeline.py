@@ -45,5 +45,11 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert corpus_pipeline.STAGES[-1][1](spark, no_docs, BASE).count() == 0
 
 
+def test_evidence_is_computed_once_for_each_row(spark, docs):
+    """A filter on accepted rows takes no second copy of the Python function along: two would hold two workers for each task."""
+    named = corpus_pipeline.identify_language(spark, docs, BASE)
+    assert named._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, BASE).count() > 0
